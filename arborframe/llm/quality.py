@@ -72,13 +72,14 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> QualityModel | None:
     """A model from a bounded sample of labelled rows that are not held out; None without both kinds."""
-    fold = F.crc32(F.col(id_col).cast("string")) % 5
     chosen = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
-    labelled = docs.select(F.col(id_col), F.coalesce(text_col, F.lit("")).alias("t"), fold.alias("fold")).where((F.col("fold") != 0) & (F.length("t") <= FIT_CHARS))
-    labelled = labelled.join(chosen, labelled[id_col] == chosen["id"]).select("t", "quality", "fold", F.xxhash64(F.col(id_col), F.lit(11)).alias("h"))
+    chosen = chosen.withColumn("fold", F.crc32(F.col("id").cast("string")) % 5).where("fold <> 0")
 
     def some(where) -> list:
-        return labelled.where(where).orderBy("h", F.xxhash64("t")).limit(rows).select("t", "quality").collect()
+        # the sample is chosen among the labels: at most ``rows`` ids, which are broadcast
+        ids = chosen.where(where).orderBy(F.xxhash64("id", F.lit(11)), "id", "quality").limit(rows)
+        texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).where(F.length("t") <= FIT_CHARS)
+        return texts.join(F.broadcast(ids), "id").orderBy("id", "quality").select("t", "quality").collect()
 
     good, bad = ([r.t.encode("utf-8", "surrogatepass") for r in some((F.col("fold") != 4) & (F.col("quality") == q))] for q in (1, 0))
     if not good or not bad:
