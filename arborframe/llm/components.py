@@ -1,15 +1,48 @@
-"""Connected components of links, by alternating large-star and small-star steps."""
+"""Connected components of links: in one task up to a bound, else by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, comp (the smallest node of its component) for every node of links (a long, b long)."""
+#: Links that one task takes; more are worked off by stars.
+ONE_TASK = 2_000_000
+
+
+def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of all links that come, smallest node first."""
+    over: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := over.setdefault(x, x)) != x:
+            over[x] = over[y]
+            x = y
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = top(x), top(y)
+            if x != y:
+                over[max(x, y)] = min(x, y)
+    nodes = list(over)
+    for i in range(0, len(nodes), 50_000):
+        part = nodes[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], names=["node", "comp"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """node, comp (the smallest node of its component) for every node of links (a long, b long).
+
+    Up to ``one_task`` links, counted first, are joined in one task; more by distributed stars.
+    """
+    if links.limit(one_task + 1).count() <= one_task:
+        return links.select("a", "b").coalesce(1).mapInArrow(_union, "node long, comp long")
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:

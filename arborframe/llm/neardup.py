@@ -6,12 +6,13 @@ its set. Two sets of the wanted similarity share at least ``least`` of them, but
 two such nodes meet in an inverted list of one of the first k - least + 1 values: very common lines, lines of
 licences and the like stay out of the lists without being dropped from the comparison.
 
-A list of at most ``SHORT`` nodes gives its pairs. A longer one gives pairs of its most central node (the one
-whose values are the most common) with the others. Lists that then still hold several components are taken
-apart by a further common value, each node entering one list per further value, and treated likewise, until
-none is left: no list is capped, and no list's pairs are all emitted. Pairs pass the estimate from the
-sketch of their union, then exact Jaccard on full sets. Pairs inside one component are not verified again:
-they cannot change the result.
+A list of at most ``SHORT`` nodes gives its pairs, which pass the estimate from the sketch of their union. A longer
+one links its nodes to its most central node (the one whose values are the most common) only, and these links are
+verified at once: they settle groups of copies of one text. The nodes so brought together, by passed pairs and by
+long lists, form families. In a family, the nodes outside its leading component are compared with all its nodes,
+in blocks of ``BLOCK`` nodes by ``BLOCK`` nodes, each a group of bounded size: estimate, then exact Jaccard on full
+sets. A block returns links enough to connect what belongs together, so no pairs of a group are emitted and no
+list, group or family is capped.
 
 Node ids are 64-bit digests: of n distinct texts about n * n / 2^65 pairs would wrongly be taken as equal.
 
@@ -34,8 +35,9 @@ from .common import discard, few, shared_dir, strings, written
 from .components import components
 from .shingles import shingle_set, word_hashes
 
-K, SHORT, CHANCE = 32, 32, 1e-6
-FEW_IDS = 1_000_000
+K, SHORT, BLOCK, CHANCE = 32, 64, 256, 1e-6
+#: Rows that are broadcast at most: of ids, and of sketches.
+FEW_IDS, FEW_SKETCHES = 500_000, 100_000
 
 
 def least_common(k: int, num: int, den: int, chance: float = CHANCE) -> int:
@@ -73,31 +75,48 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, least: int, num: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.array(x).view(np.uint64), np.array(y).view(np.uint64)
-                union = np.union1d(x, y)
-                if len(x) < k and len(y) < k:
-                    keep.append(den * (len(x) + len(y) - len(union)) >= num * len(union))
-                else:
-                    low = union[:k]
-                    both = len(np.intersect1d(x, y, assume_unique=True)) if len(union) <= k else int(np.isin(low, x, assume_unique=True).sum() + np.isin(low, y, assume_unique=True).sum()) - len(low)
-                    keep.append(both >= least * len(low) / k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    s = nodes.select("node", "sketch")
-    joined = pairs.join(s.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+            both, sizes = np.empty((len(batch), 2 * k), np.uint64), []
+            for side in (0, 1):
+                lists = batch.column(2 + side)
+                bounds = lists.offsets.to_numpy()
+                n = np.diff(bounds)
+                half = np.full((len(batch), k), np.uint64((1 << 64) - 1 - side))
+                half[np.arange(k)[None, :] < n[:, None]] = lists.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].view(np.uint64)
+                both[:, side * k : (side + 1) * k] = half
+                sizes.append(n)
+            both.sort(axis=1)
+            same = both[:, 1:] == both[:, :-1]
+            # places in the union of what is in both sketches; only its k smallest values count where a sketch is not a whole set
+            place = np.arange(1, 2 * k)[None, :] - np.cumsum(same, axis=1)
+            inside = (same & (place < k) & (both[:, 1:] < np.uint64((1 << 64) - 2))).sum(axis=1)
+            all_same = same.sum(axis=1) - np.maximum(0, k - sizes[0] - 1) - np.maximum(0, k - sizes[1] - 1)
+            union = sizes[0] + sizes[1] - all_same
+            whole = (sizes[0] < k) & (sizes[1] < k)
+            keep = np.where(whole, den * all_same >= num * union, inside * k >= least * np.minimum(k, union))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs whose full sets have the similarity, with it. pairs: written."""
+def _full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """node, full (the whole set) of the wanted nodes (node, first_id), from the texts once more."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(w, size) for w in word_hashes([t.encode("utf-8", "surrogatepass") for t in strings(b.column(0))])]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) if len(s) else None for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "full"])
 
+    ids = few(wanted.select(F.col("first_id").alias("want")).distinct(), FEW_IDS)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = texts.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(sets, "node long, full binary")
+    # rows that share an id with a wanted one, and copies of it, may have come along
+    return found.join(few(wanted.select("node"), FEW_IDS), "node", "left_semi").groupBy("node").agg(F.max("full").alias("full"))
+
+
+def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose full sets have the similarity, with it."""
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common, union = [], []
@@ -109,42 +128,82 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, nu
             out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "common", "total"])
             yield out.filter(pa.array([den * c >= num * u for c, u in zip(common, union)], pa.bool_()))
 
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = ends.join(nodes.select("node", "first_id"), "node")
-    ids = few(wanted.select(F.col("first_id").alias("want")).distinct(), FEW_IDS)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    full = written(texts.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(sets, "node long, full binary").where("node IS NOT NULL").join(few(ends, FEW_IDS), "node", "left_semi").dropDuplicates(["node"]), "full")
     joined = pairs.join(full.select(F.col("node").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("full").alias("fb")), "b")
-    links = written(joined.select("a", "b", "fa", "fb").mapInArrow(judge, "a long, b long, common long, total long"), "links")
-    discard(full)
-    return links
-
-
-def _pairs(lists: DataFrame, comps: DataFrame | None, num: int, den: int, short: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs a < b from lists of (key, node, n, weight, rank), and the lists that are too long for all of theirs."""
-    if comps is None:
-        lists = lists.withColumn("comp", F.col("node"))
-    else:
-        lists = lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    about = lists.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.struct("weight", -F.col("node"))).alias("top"))
-    about = about.where("size > 1 AND c0 <> c1").select("key", "size", (-F.col("top.col2")).alias("leader"))
-    lists = lists.join(about, "key")
-    few_ = lists.where(F.col("size") <= short).select("key", "node", "n", "comp")
-    other = few_.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    near = F.greatest("n", "n2") * num <= F.least("n", "n2") * den
-    out = few_.join(other, "key").where((F.col("node") < F.col("node2")) & near & (F.col("comp") != F.col("comp2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    long = lists.where(F.col("size") > short)
-    # after the first round a list's leader is the most central node outside the component that leads it
-    star = long.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    if comps is not None:
-        lead = long.where("node = leader").select("key", F.col("comp").alias("lead"))
-        rest = long.join(lead, "key").where("comp <> lead")
-        second = rest.groupBy("key").agg(F.max(F.struct("weight", -F.col("node"), "comp")).alias("top")).select("key", (-F.col("top.col2")).alias("second"), F.col("top.comp").alias("second_comp"))
-        star = star.union(long.join(second, "key").where("comp <> second_comp").select(F.least("node", "second"), F.greatest("node", "second")))
-    return out.union(star).distinct(), long.select("key", "node", "n", "weight", "rank")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, k: int = K, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return joined.select("a", "b", "fa", "fb").mapInArrow(judge, "a long, b long, common long, total long")
+
+
+def _short_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs a < b of lists of (key, node, n), each of bounded length."""
+    other = lists.select("key", F.col("node").alias("b"), F.col("n").alias("nb"))
+    near = F.greatest("n", "nb") * num <= F.least("n", "nb") * den
+    return lists.join(other, "key").where((F.col("node") < F.col("b")) & near).select(F.col("node").alias("a"), "b").distinct()
+
+
+def _block_links(k: int, least: int, num: int, den: int):
+    """A function from a block's rows (node, full, side) to links that connect its linked nodes."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        nodes, side = rows.column("node").to_pylist(), rows.column("side").to_pylist()
+        sets = [np.frombuffer(x, "<u8") for x in rows.column("full").to_pylist()]
+        at_b = [i for i, x in enumerate(side) if x & 2]
+        parent = list(range(len(nodes)))
+
+        def top(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        links: list[tuple[int, int]] = []
+        if len(nodes) > 1 and at_b:
+            sizes = np.array([len(x) for x in sets])
+            _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            bounds = np.r_[0, np.cumsum(sizes)]
+            b_sizes = sizes[at_b]
+            b_low = np.minimum(b_sizes, k)
+            low_ids = np.concatenate([ids[bounds[i] : bounds[i] + min(k, sizes[i])] for i in at_b])
+            low_starts = np.r_[0, np.cumsum(b_low)[:-1]]
+            mark = np.zeros(ids.max() + 1, bool)
+            for i in (i for i, x in enumerate(side) if x & 1):
+                # ids are in hash order, so the k smallest of a set come first
+                own = ids[bounds[i] : bounds[i + 1]]
+                n = sizes[i]
+                near = np.maximum(b_sizes, n) * num <= np.minimum(b_sizes, n) * den
+                # a looser form of the estimate of the union's sketch: values of one sketch that the other set has
+                mark[own] = True
+                shared = np.add.reduceat(mark[low_ids], low_starts)
+                near &= shared >= np.minimum(least, -(-num * b_low // den))
+                for j in np.flatnonzero(near).tolist():
+                    other = at_b[j]
+                    x, y = top(i), top(other)
+                    if x != y:
+                        both = int(mark[ids[bounds[other] : bounds[other + 1]]].sum())
+                        if den * both >= num * (n + sizes[other] - both):
+                            parent[x] = y
+                            links.append((nodes[i], nodes[other]))
+                mark[own] = False
+        return pa.table({"a": pa.array([min(x) for x in links], pa.int64()), "b": pa.array([max(x) for x in links], pa.int64())})
+
+    return run
+
+
+def _family_links(families: DataFrame, comps: DataFrame | None, full: DataFrame, k: int, least: int, num: int, den: int, block: int) -> DataFrame:
+    """a, b of links inside families (node, family) beyond those of comps."""
+    of = families.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else families.withColumn("comp", F.col("node"))
+    sizes = of.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"))
+    sizes = sizes.select("family", "size", F.col("top.comp").alias("lead"), (F.col("size") - F.col("top.n")).alias("out")).where("out > 0")
+    placed = of.join(few(sizes, FEW_IDS), "family").select("node", "family", (F.col("comp") != F.col("lead")).alias("outside"), F.ceil(F.col("out") / block).cast("int").alias("na"), F.ceil(F.col("size") / block).cast("int").alias("nb"))
+    h = F.xxhash64("node")
+    ai, bi = F.pmod(h, F.col("na")).cast("int"), F.pmod(h, F.col("nb")).cast("int")
+    # a node goes to all blocks of its row as one of those outside, and to all of its column as any node
+    as_a = F.when(F.col("outside"), F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda j: F.struct(ai.alias("i"), j.alias("j"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    as_b = F.transform(F.sequence(F.lit(0), F.col("na") - 1), lambda i: F.struct(i.alias("i"), bi.alias("j"), F.lit(2).alias("side")))
+    cells = placed.select("node", "family", F.explode(F.concat(as_a, as_b)).alias("c")).groupBy("node", "family", "c.i", "c.j").agg(F.sum("c.side").alias("side"))
+    cells = cells.select("node", "side", F.xxhash64("family", "i", "j").alias("cell"))
+    return cells.join(full, "node").groupBy("cell").applyInArrow(lambda t: _block_links(k, least, num, den)(t), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, k: int = K, short: int = SHORT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; links need num/den of the union of two sets."""
     shared_dir(docs.sparkSession)
     rows = written(sketches(docs, size, k, id_col, text_col), "rows")
@@ -161,53 +220,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     ranked = values.join(shared, "v").withColumn("single", kept_values - F.count("*").over(per_node)).withColumn("weight", F.sum("df").over(per_node)).withColumn("rank", F.col("single") + F.row_number().over(per_node.orderBy("df", "v")))
     ranked = written(ranked.where(F.col("single") <= kept_values - must).select("node", "n", "v", "weight", "rank", (kept_values - must).alias("slack")), "ranked")
     discard(values)
-    links: list[DataFrame] = []
-    comps = None
-
-    def add(pairs: DataFrame) -> None:
-        nonlocal comps
-        found = _verified(pairs, nodes, docs, size, num, den, id_col, text_col)
-        links.append(found.select("a", "b"))
-        together = links[0]
-        for x in links[1:]:
-            together = together.union(x)
-        comps = components(together)
-
-    depth = 1
-    lists = ranked.where(F.col("rank") <= F.col("slack") + 1).select(F.col("v").alias("key"), "node", "n", "weight", "rank")
-    while True:
-        pairs, long = _pairs(lists, comps, num, den, short)
-        passed = written(_estimated(pairs, nodes, k, least, num, den), "passed")
-        if not passed.isEmpty():
-            # each node with its most central partner first: most components are then known
-            ends = passed.union(passed.select("b", "a")).toDF("x", "y").join(ranked.select("node", "weight").distinct(), F.col("y") == F.col("node"))
-            best = ends.groupBy("x").agg(F.max(F.struct("weight", -F.col("y"))).alias("top")).select("x", (-F.col("top.col2")).alias("y"))
-            first = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
-            add(first)
-            of = comps.select("node", "comp")
-            rest = passed.join(first, ["a", "b"], "left_anti").join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-            rest = written(rest, "rest")
-            if not rest.isEmpty():
-                add(rest)
-            discard(first)
-            discard(rest)
-        if long.isEmpty():
-            break
-        # the lists that still hold several components, by one more value each
-        depth += 1
-        labelled = long.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else long.withColumn("comp", F.col("node"))
-        open_ = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-        more = ranked.where(F.col("rank") <= F.col("slack") + depth).select("node", "v", F.col("rank").alias("next"))
-        again = long.join(open_, "key", "left_semi").join(more, "node").where("next > rank").select(F.xxhash64("key", "v").alias("key"), "node", "n", "weight", F.col("next").alias("rank"))
-        lists = written(again, "lists")
-        if lists.isEmpty():
-            break
-    if comps is None:
-        label = nodes.select("node", F.col("first_id").alias("component_id")).limit(0)
-    else:
-        ends = comps.join(nodes.select("node", "first_id"), "node")
-        least_id = ends.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-        label = comps.join(least_id, "comp").select("node", "component_id")
+    # all that is asked of candidates further on: few where they are few, else joined by shuffles
+    about = written(nodes.join(few(ranked.select("node", "weight").distinct(), FEW_IDS), "node"), "about")
+    sketch_of = few(about.select("node", "sketch"), FEW_SKETCHES)
+    full = written(_full_sets(about.select("node", "first_id"), docs, size, id_col, text_col), "full")
+    lists = ranked.where(F.col("rank") <= F.col("slack") + 1).select(F.col("v").alias("key"), "node", "n", "weight")
+    sized = lists.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("weight", "node", "n")).alias("top")).where("size > 1")
+    lists = written(lists.join(sized, "key"), "lists")
+    passed = written(_estimated(_short_pairs(lists.where(F.col("size") <= short), num, den), sketch_of, k, least, num, den), "passed")
+    near = F.greatest("n", "top.n") * num <= F.least("n", "top.n") * den
+    stars = written(lists.where((F.col("size") > short) & (F.col("node") != F.col("top.node"))).select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b"), near.alias("near")).distinct(), "stars")
+    links = written(_verified(stars.where("near"), full, num, den).select("a", "b"), "links")
+    comps = written(components(links), "comps")
+    families = written(components(passed.union(stars.select("a", "b"))).toDF("node", "family"), "families")
+    links = written(links.union(_family_links(families, few(comps, FEW_IDS), full, k, least, num, den, block)), "links")
+    comps = written(components(links), "comps")
+    ends = comps.join(nodes.select("node", "first_id"), "node")
+    least_id = ends.groupBy("comp").agg(F.min("first_id").alias("component_id"))
+    label = comps.join(least_id, "comp").select("node", "component_id")
     alone = nodes.select("node", F.col("first_id"))
     full = alone.join(label, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "node").join(full, "node", "left")
