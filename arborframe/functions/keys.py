@@ -8,11 +8,12 @@ from collections.abc import Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 PUBLIC = "__public__"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(values: pd.Series) -> pd.Series:
     def one(v: str | None) -> str | None:
         return None if v is None else "".join(c for c in unicodedata.normalize("NFKD", v) if not unicodedata.combining(c))

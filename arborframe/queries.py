@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.keys import ancestor_paths, edge_type, instance_uid, normalize_key
 from .functions.predicates import Op
 from .functions.scope import Scope
+from .operators.lifecycle import batch_version, delete_cascade, newer_versions, orphans, progress, restore, select_documents, snapshot, with_latest
 from .operators.navigator import Navigator, previous_page
+from .operators.transforms import assemble_tree, merge_entities, merge_values, normalization_key, prefix_parents, raw_rows, route_rows
 from .oracles import GRAPH, SQL, oracle
 from .plans.graph import SampleGraph
 from .session import prepare
+from .sources.text import html_pages, json_items, segments, text_pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,3 +101,136 @@ ORACLES["folder_overview"] = GRAPH + """, c AS (SELECT b.anchor, count(*) AS nod
     i AS (SELECT b.anchor, count(DISTINCT x.node) AS n FROM below b JOIN nodeinst x ON x.anchor = b.node GROUP BY b.anchor)
     SELECT split_part(c.anchor, '::', 1) AS folder, count(*) AS documents, CAST(sum(nodes) AS BIGINT) AS nodes, CAST(sum(units) AS BIGINT) AS units, CAST(coalesce(sum(i.n), 0) AS BIGINT) AS instances, round(sum(annotated) / sum(nodes), 6) AS coverage
     FROM c LEFT JOIN i USING (anchor) GROUP BY 1"""
+
+
+# ---- transforms and lifecycle ------------------------------------------------------------------------------
+
+
+def _q(make: Callable[[SparkSession, str, Navigator], DataFrame], sql: str, graph: bool = False):
+    return lambda spark, d: make(spark, d, navigator(spark, d)), (GRAPH + sql if graph else sql)
+
+
+_PARTS = "array(p_name, p_type, concat(' ', p_type, ' '), split(p_type, ' ')[0], p_brand)"
+
+MORE = {
+    "uids": _q(
+        lambda s, d, n: n.graph.source("nation").select("n_nationkey", instance_uid("Country", {"country_code": normalize_key(F.col("n_name"), ascii_only=True)}).alias("uid")),
+        "SELECT n_nationkey, substr(sha256('2:mi||7:Country||10:__public__||12:country_code||' || length(v) || ':' || v), 1, 16) AS uid FROM (SELECT n_nationkey, lower(trim(n_name)) AS v FROM nation)",
+    ),
+    "ancestor_paths": _q(
+        lambda s, d, n: n.table("document").select(F.explode(ancestor_paths(F.col("path"))).alias("path")).distinct(),
+        "SELECT DISTINCT path FROM (SELECT lang AS path FROM documents UNION ALL SELECT lang || '/' || source FROM documents)",
+    ),
+    "edge_types": _q(
+        lambda s, d, n: n.graph.source("part").select("p_type").distinct().select("p_type", edge_type(F.col("p_type"), ascii_only=True).alias("edge_type")),
+        "SELECT DISTINCT p_type, upper(regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g')) AS edge_type FROM part",
+    ),
+    "merge_values": _q(
+        lambda s, d, n: n.graph.source("part").select("p_partkey", F.array_join(merge_values(F.expr(_PARTS)), "; ").alias("merged")),
+        "SELECT p_partkey, p_name || CASE WHEN contains(lower(p_name), lower(p_type)) THEN '' ELSE '; ' || p_type END || '; ' || p_brand AS merged FROM part",
+    ),
+    "route_rows": _q(
+        lambda s, d, n: route_rows(n.graph.source("customer").select("c_custkey", "c_name", "c_mktsegment", F.lower("c_mktsegment").alias("segment_2")), "c_custkey", s.createDataFrame([("c_name", "Customer", "name", "high"), ("c_mktsegment", "Customer", "segment", "high"), ("segment_2", "Customer", "segment", "medium")], "column_name string, target string, field string, confidence string")),
+        "SELECT c_custkey, 'Customer' AS target, 'name' AS field, c_name AS value FROM customer UNION ALL SELECT c_custkey, 'Customer', 'segment', c_mktsegment FROM customer",
+    ),
+    "raw_rows": _q(
+        lambda s, d, n: raw_rows(n.graph.source("supplier").select("s_suppkey", "s_name", F.col("s_nationkey").alias("2nd key")), "s_suppkey"),
+        "SELECT s_suppkey, 'HAS_S_NAME' AS type, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 'HAS_COL_2ND_KEY', CAST(s_nationkey AS VARCHAR) FROM supplier",
+    ),
+    "normalization_keys": _q(
+        lambda s, d, n: n.graph.source("part").select(normalization_key("Part", ["p_type", "p_brand"]).alias("unique_key")).groupBy("unique_key").agg(F.count("*").alias("n")),
+        "SELECT 'Part:' || md5('p_brand=' || lower(p_brand) || '|p_type=' || lower(p_type)) AS unique_key, count(*) AS n FROM part GROUP BY 1",
+    ),
+    "prefix_parents": _q(
+        lambda s, d, n: prefix_parents(n.graph.source("part").select("p_brand", F.explode(F.array(F.replace("p_type", F.lit(" "), F.lit("_")), F.split("p_type", " ")[0])).alias("id")), "p_brand", "id"),
+        "SELECT i.p_brand, i.id, max_by(j.id, length(j.id)) AS parent FROM (SELECT DISTINCT p_brand, unnest([replace(p_type, ' ', '_'), split_part(p_type, ' ', 1)]) AS id FROM part) i LEFT JOIN (SELECT DISTINCT p_brand, unnest([replace(p_type, ' ', '_'), split_part(p_type, ' ', 1)]) AS id FROM part) j ON i.p_brand = j.p_brand AND starts_with(i.id, j.id || '_') GROUP BY ALL",
+    ),
+    "assemble_tree": _q(
+        lambda s, d, n: assemble_tree(n.graph.source("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("is_orphan")), n.graph.source("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 1).otherwise(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey") - 5)).cast("string").alias("parent"), F.lit(1).alias("seq")), depth=2),
+        """, w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 3 = 0 THEN o_orderkey - 1 ELSE o_orderkey - 5 END AS p FROM orders),
+           k AS (SELECT w.id, CASE WHEN o.o_orderkey IS NOT NULL THEN p END AS p FROM w LEFT JOIN orders o ON o.o_orderkey = p)
+           SELECT CAST(a.id AS VARCHAR) AS id, CAST(CASE WHEN b.p = a.id OR a.p = a.id THEN NULL ELSE a.p END AS VARCHAR) AS parent FROM k a LEFT JOIN k b ON b.id = a.p""",
+        graph=True,
+    ),
+    "merge_entities": _q(
+        lambda s, d, n: merge_entities(n.graph.source("orders").select(F.col("o_orderpriority").alias("uid"), F.concat("o_orderpriority", F.col("o_orderkey").cast("string")).alias("value"), F.col("o_orderkey").alias("seq"), F.col("o_orderstatus").alias("job_id"))),
+        "SELECT o_orderpriority AS uid, min_by(o_orderpriority || o_orderkey, o_orderkey) AS value, list_sort(list(DISTINCT o_orderstatus)) AS job_ids FROM orders GROUP BY 1",
+    ),
+    "batch_version": _q(
+        lambda s, d, n: batch_version(n.table("document"), n.table("document").where("job_id = 'src1'").select("path")),
+        "SELECT max(version) + 1 AS version FROM document WHERE path IN (SELECT path FROM document WHERE job_id = 'src1')",
+        graph=True,
+    ),
+    "with_latest": _q(
+        lambda s, d, n: with_latest(n.table("document").drop("latest")).select("key", "latest"),
+        "SELECT key, latest FROM document",
+        graph=True,
+    ),
+    "newer_versions": _q(
+        lambda s, d, n: newer_versions(n.table("document")),
+        "SELECT tenant_id, path, 1 AS older, 2 AS newer FROM leaf WHERE newest = 2",
+        graph=True,
+    ),
+    "delete_cascade": _q(
+        lambda s, d, n: _counts(delete_cascade(n, select_documents(n.table("document"), job_id="src0"))),
+        """, gone AS (SELECT key FROM document WHERE job_id = 'src0'), gn AS (SELECT id FROM node WHERE doc IN (SELECT key FROM gone))
+           SELECT 'document' AS label, count(*) AS n FROM document WHERE key NOT IN (SELECT key FROM gone) UNION ALL SELECT 'structure_node', count(*) FROM node WHERE id NOT IN (SELECT id FROM gn)
+           UNION ALL SELECT 'info_unit', count(*) FROM unit WHERE node NOT IN (SELECT id FROM gn) UNION ALL SELECT 'model_decision', count(*) FROM decision WHERE node NOT IN (SELECT id FROM gn)
+           UNION ALL SELECT 'extraction_result', count(*) FROM result WHERE node NOT IN (SELECT id FROM gn)""",
+        graph=True,
+    ),
+    "orphans": _q(
+        lambda s, d, n: orphans(n.table("model_instance"), n.table("extraction_result").where("doc_id % 5 = 0"), n.edges("HAS_REGION", "HAS_NATION", "HAS_CUSTOMER", "HAS_ORDER"), 4),
+        """, r AS (SELECT DISTINCT dst AS uid FROM edge WHERE type = 'HAS_REGION' AND src IN (SELECT uid FROM result WHERE doc_id % 5 = 0)),
+           t AS (SELECT DISTINCT e.dst AS uid FROM ie e JOIN r ON e.src = r.uid AND e.type LIKE 'HAS_%'), c AS (SELECT DISTINCT e.dst AS uid FROM ie e JOIN t ON e.src = t.uid AND e.type LIKE 'HAS_%'),
+           o AS (SELECT DISTINCT e.dst AS uid FROM ie e JOIN c ON e.src = c.uid AND e.type LIKE 'HAS_%')
+           SELECT uid FROM instance WHERE uid NOT IN (SELECT uid FROM r UNION ALL SELECT uid FROM t UNION ALL SELECT uid FROM c UNION ALL SELECT uid FROM o)""",
+        graph=True,
+    ),
+    "snapshot_round_trip": _q(
+        lambda s, d, n: _round_trip(n),
+        "SELECT 'Document' AS label, count(*) AS n FROM document UNION ALL SELECT 'StructureNode', count(*) FROM node UNION ALL SELECT 'InfoUnit', count(*) FROM unit UNION ALL SELECT 'ModelDecision', count(*) FROM decision UNION ALL SELECT 'ExtractionResult', count(*) FROM result",
+        graph=True,
+    ),
+    "progress": _q(
+        lambda s, d, n: progress(n.graph.source("events"), 4),
+        "SELECT user_id, count(*) AS events, count(DISTINCT CASE WHEN event_type <> 'error' THEN event_type END) AS done, count(*) FILTER (event_type = 'error') AS errors, round(100 * count(DISTINCT CASE WHEN event_type <> 'error' THEN event_type END) / 4, 1) AS percent FROM events GROUP BY user_id",
+    ),
+    "text_pages": _q(
+        lambda s, d, n: text_pages(n.graph.source("documents"), "doc_id", "text", 7).select("doc_id", "page", F.length("markdown").alias("size")),
+        "SELECT doc_id, CAST(i // 7 AS INTEGER) AS page, length(string_agg(s[i + 1], chr(10) ORDER BY i)) AS size FROM (SELECT *, unnest(range(0, len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) GROUP BY doc_id, i // 7",
+    ),
+    "media_segments": _q(
+        lambda s, d, n: n.graph.source("orders").select("o_orderkey", F.explode(segments((F.col("o_orderkey") * 37 % 20000).cast("long"), 3000, 1000)).alias("s")).select("o_orderkey", "s.start_ms", "s.end_ms"),
+        """SELECT o_orderkey, CASE WHEN i > 0 AND i = n - 1 AND dur - i * 3000 < 1000 THEN greatest(dur - 1000, (i - 1) * 3000 + 1) ELSE i * 3000 END AS start_ms,
+               CASE WHEN i = n - 1 THEN dur WHEN i = n - 2 AND dur - (i + 1) * 3000 < 1000 THEN greatest(dur - 1000, i * 3000 + 1) ELSE (i + 1) * 3000 END AS end_ms
+           FROM (SELECT o_orderkey, dur, n, unnest(range(0, n)) AS i FROM (SELECT o_orderkey, o_orderkey * 37 % 20000 AS dur, CAST(ceil((o_orderkey * 37 % 20000) / 3000) AS BIGINT) AS n FROM orders))""",
+    ),
+    "json_items": _q(
+        lambda s, d, n: json_items(n.graph.source("events").select("event_id", F.concat(F.lit('{"items": ['), "props", F.lit(']}')).alias("body")), "event_id", "body", "$.items", {"k": "$.k"}),
+        "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
+    ),
+    "html_pages": _q(
+        lambda s, d, n: html_pages(n.graph.source("pages"), "page_id", "html").groupBy("page_id").agg(F.count_if(F.col("markdown").startswith("# ")).alias("headings")),
+        "SELECT page_id, CAST((length(html) - length(replace(html, '<h1', ''))) // 3 AS BIGINT) AS headings FROM pages",
+    ),
+}
+
+
+def _counts(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = [df.agg(F.lit(k).alias("label"), F.count("*").alias("n")) for k, df in tables.items()]
+    return reduce(DataFrame.union, parts)
+
+
+def _round_trip(n: Navigator) -> DataFrame:
+    """What there is per label after a job's documents were exported, deleted and restored."""
+    seeds = select_documents(n.table("document"), job_id="src0")
+    rows = snapshot(n, seeds)
+    left = delete_cascade(n, seeds)
+    names = {"document": ("Document", "key"), "structure_node": ("StructureNode", "id"), "info_unit": ("InfoUnit", "uid"), "model_decision": ("ModelDecision", "uid"), "extraction_result": ("ExtractionResult", "uid")}
+    existing = reduce(DataFrame.union, [left[t].select(F.lit(label).alias("label"), F.col(key).alias("key")) for t, (label, key) in names.items()])
+    return restore(existing, rows).groupBy("label").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {k: v[0] for k, v in MORE.items()}
+ORACLES |= {k: v[1] for k, v in MORE.items()}
