@@ -38,7 +38,7 @@ def uid(*parts: Column) -> Column:
 
 def instance_uid(model_class: str, keys: Mapping[str, Column], tenant: Column | None = None) -> Column:
     """The uid of a keyed instance: class, tenant and its key fields in the order of their names."""
-    parts = [F.lit("mi"), F.lit(model_class), tenant_key(tenant)]
+    parts = [F.lit("mi"), F.lit(model_class), F.lit("tenant"), tenant_key(tenant)]
     for name in sorted(keys):
         parts += [F.lit(name), keys[name]]
     return uid(*parts)

@@ -115,7 +115,7 @@ _PARTS = "array(p_name, p_type, concat(' ', p_type, ' '), split(p_type, ' ')[0],
 MORE = {
     "uids": _q(
         lambda s, d, n: n.graph.source("nation").select("n_nationkey", instance_uid("Country", {"country_code": normalize_key(F.col("n_name"), ascii_only=True)}).alias("uid")),
-        "SELECT n_nationkey, substr(sha256('2:mi||7:Country||10:__public__||12:country_code||' || length(v) || ':' || v), 1, 16) AS uid FROM (SELECT n_nationkey, lower(trim(n_name)) AS v FROM nation)",
+        "SELECT n_nationkey, substr(sha256('2:mi||7:Country||6:tenant||10:__public__||12:country_code||' || length(v) || ':' || v), 1, 16) AS uid FROM (SELECT n_nationkey, lower(trim(n_name)) AS v FROM nation)",
     ),
     "ancestor_paths": _q(
         lambda s, d, n: n.table("document").select(F.explode(ancestor_paths(F.col("path"))).alias("path")).distinct(),
