@@ -35,12 +35,17 @@ def select_documents(documents: DataFrame, tenant_id: str | None = None, path: s
     return df.where(F.col("path") == path) if path is not None else df.where(F.col("job_id") == job_id)
 
 
-def delete_cascade(nav, seeds: DataFrame, depth: int = 3) -> dict[str, DataFrame]:
-    """The tables without the seed documents, what is composed of them, and all that hangs from their nodes."""
+def delete_cascade(nav, seeds: DataFrame, depth: int = 3, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables without the seed documents, what is composed of them, and all that hangs from their nodes.
+
+    nodes: the nodes below them (a column node), if they are known already.
+    """
     start = seeds.select(F.col("key").alias("anchor"))
     below = traverse.walk(start, nav.edges("IS_COMPOSED_OF"), depth).select(F.col("node").alias("key"))
     gone = start.select(F.col("anchor").alias("key")).union(below).distinct()
-    nodes = nav.nodes_of_documents(depth, gone.select(F.col("key").alias("anchor"))).select("node").distinct()
+    if nodes is None:
+        nodes = nav.nodes_of_documents(depth, gone.select(F.col("key").alias("anchor")))
+    nodes = nodes.select("node").distinct()
     out = {"document": nav.table("document").join(gone, "key", "left_anti"), "structure_node": nav.table("structure_node").join(nodes.withColumnRenamed("node", "id"), "id", "left_anti")}
     for name in ("info_unit", "model_decision", "extraction_result"):
         out[name] = nav.table(name).join(nodes, "node", "left_anti")
@@ -59,10 +64,10 @@ def unreferenced(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.select("uid").join(edges.select(F.col("dst").alias("uid")), "uid", "left_anti")
 
 
-def snapshot(nav, seeds: DataFrame, depth: int = 3) -> DataFrame:
-    """The seeds' subtrees as rows of (document, label, key, properties JSON)."""
+def snapshot(nav, seeds: DataFrame, depth: int = 3, nodes: DataFrame | None = None) -> DataFrame:
+    """The seeds' subtrees as rows of (document, label, key, properties JSON); nodes as in delete_cascade, with anchor."""
     start = seeds.select(F.col("key").alias("anchor"))
-    nodes = nav.nodes_of_documents(depth, start)
+    nodes = nav.nodes_of_documents(depth, start) if nodes is None else nodes
     docs = nav.table("document").join(start.select(F.col("anchor").alias("key")), "key", "left_semi")
     row = lambda df, doc, label, key: df.select(F.col(doc).alias("document"), F.lit(label).alias("label"), F.col(key).alias("key"), F.to_json(F.struct(*(c for c in df.columns if c != "anchor"))).alias("properties"))
     out = row(docs, "key", "Document", "key")

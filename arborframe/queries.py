@@ -16,6 +16,7 @@ from .operators.navigator import Navigator, previous_page
 from .operators.transforms import assemble_tree, merge_entities, merge_values, normalization_key, prefix_parents, raw_rows, route_rows
 from .oracles import GRAPH, SQL, oracle
 from .plans.graph import SampleGraph
+from .plans.store import stored
 from .session import prepare
 from .sources.text import html_pages, json_items, segments, text_pages
 
@@ -225,8 +226,10 @@ def _counts(tables: dict[str, DataFrame]) -> DataFrame:
 def _round_trip(n: Navigator) -> DataFrame:
     """What there is per label after a job's documents were exported, deleted and restored."""
     seeds = select_documents(n.table("document"), job_id="src0")
-    rows = snapshot(n, seeds)
-    left = delete_cascade(n, seeds)
+    # both steps start from the same nodes, found once
+    nodes = stored(n.nodes_of_documents(3, seeds.select(F.col("key").alias("anchor"))))
+    rows = stored(snapshot(n, seeds, nodes=nodes).select("label", "key"))
+    left = delete_cascade(n, seeds, nodes=nodes)
     names = {"document": ("Document", "key"), "structure_node": ("StructureNode", "id"), "info_unit": ("InfoUnit", "uid"), "model_decision": ("ModelDecision", "uid"), "extraction_result": ("ExtractionResult", "uid")}
     existing = reduce(DataFrame.union, [left[t].select(F.lit(label).alias("label"), F.col(key).alias("key")) for t, (label, key) in names.items()])
     return restore(existing, rows).groupBy("label").agg(F.count("*").alias("n"))
