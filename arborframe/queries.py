@@ -64,8 +64,8 @@ CALLS: dict[str, Callable[[Navigator], DataFrame]] = {
     "count_document_model_instances": lambda n: n.count_document_model_instances(depth=2),
     "get_model_instances_by_class": lambda n: n.get_model_instances_by_class("Order", {"status": "F", "priority": Op("in", ["1-URGENT", "2-HIGH"])}),
     "get_related_model_instances": lambda n: n.get_related_model_instances("FOLLOWED_BY"),
-    "get_node_entities": lambda n: n.get_node_entities(depth=2),
-    "get_document_entities": lambda n: n.get_document_entities(depth=2),
+    "get_node_entities": lambda n: n.get_node_entities(depth=3),
+    "get_document_entities": lambda n: n.get_document_entities(depth=3),
     "get_labeled_entities": lambda n: n.get_labeled_entities(label="Segment", conditions={"normalized_value": Op("ne", "building")}),
     "get_entity_triples": lambda n: n.get_entity_triples("ASIA"),
     "list_model_classes_present": lambda n: n.list_model_classes_present(n.graph.spark.createDataFrame([("Region",), ("Report",), ("Absent",)], "model_class string")),
