@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -16,6 +17,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in have and ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, have)])
+    # rows are whole documents: Spark's default of 10,000 a batch holds tens of MB several times over
+    if int(spark.conf.get(BATCH_ROWS)) > ROWS:
+        spark.conf.set(BATCH_ROWS, str(ROWS))
     return spark
 
 
