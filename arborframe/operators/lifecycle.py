@@ -94,3 +94,53 @@ def progress(events: DataFrame, stages: int, key: str = "user_id", stage: str =
     """Per run: events, distinct stages done, errors, and the percentage of planned stages."""
     g = events.groupBy(key).agg(F.count("*").alias("events"), F.count_distinct(F.when(F.col(stage) != "error", F.col(stage))).alias("done"), F.count_if(F.col(stage) == "error").alias("errors"))
     return g.withColumn("percent", F.round(100 * F.col("done") / stages, 1))
+
+
+def sweep(instances: DataFrame, entities: DataFrame, results: DataFrame, edges: DataFrame, hops: int = ORPHAN_HOPS) -> dict[str, DataFrame]:
+    """A tenant's instances that no result reaches, and the entities that nothing but those refer to."""
+    gone = orphans(instances, results, edges, hops)
+    left = edges.join(gone.select(F.col("uid").alias("src")), "src", "left_anti")
+    return {"model_instance": gone, "labeled_entity": unreferenced(entities, left)}
+
+
+def leaves_or_self(documents: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
+    """anchor, leaf: the leaves below each document, or the document itself where nothing is below it."""
+    start = documents.select(F.col("key").alias("anchor"))
+    inner = edges.select(F.col("src").alias("node")).distinct()
+    below = traverse.walk(start, edges, depth).join(inner, "node", "left_anti").select("anchor", "node")
+    return start.join(below, "anchor", "left").select("anchor", F.coalesce("node", "anchor").alias("leaf"))
+
+
+def freeze(nav, seeds: DataFrame, snapshot_id: str, depth: int = 3, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The seeds' snapshot, and the tables after it: documents stay as marked stubs, what hangs from them goes.
+
+    keep names tables that stay whole. The snapshot must be written before the tables are replaced.
+    """
+    rows = snapshot(nav, seeds, depth)
+    left = delete_cascade(nav, seeds, depth)
+    marked = seeds.select("key", F.lit(snapshot_id).alias("snapshot_id")).distinct()
+    left["document"] = nav.table("document").join(marked, "key", "left")
+    for name in keep:
+        left[name] = nav.table(name)
+    return {"snapshot": rows.withColumn("snapshot_id", F.lit(snapshot_id))} | left
+
+
+def newest_snapshot(snapshots: DataFrame) -> DataFrame:
+    """document, snapshot_id of the newest snapshot that holds each document. snapshots: document, snapshot_id, stored_at."""
+    return snapshots.groupBy("document").agg(F.max_by("snapshot_id", F.struct("stored_at", "snapshot_id")).alias("snapshot_id"))
+
+
+def restore_plan(wanted: DataFrame, documents: DataFrame) -> DataFrame:
+    """document, action: recreate what is gone, refill a stub of that snapshot, refuse any other.
+
+    wanted: document, snapshot_id. documents: key, snapshot_id (null: not frozen).
+    """
+    have = documents.select(F.col("key").alias("document"), F.lit(True).alias("there"), F.col("snapshot_id").alias("frozen"))
+    df = wanted.join(have, "document", "left")
+    return df.select("document", F.when(F.col("there").isNull(), "recreate").when(F.col("frozen") == F.col("snapshot_id"), "refill").otherwise("refuse").alias("action"))
+
+
+def restored_edges(existing: DataFrame, edges: DataFrame) -> DataFrame:
+    """Existing edges and those of a snapshot that are absent."""
+    keys = ["src", "type", "dst"]
+    return existing.select(*keys).union(edges.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti"))

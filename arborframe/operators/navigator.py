@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import instance_uid, normalize_key
 from ..functions.predicates import where
 from ..functions.scope import Scope
 from . import traverse
@@ -351,7 +353,7 @@ class Navigator:
 
     def _instance_edges(self, rel_type: str | None = None) -> DataFrame:
         i = self.table("model_instance").select("uid")
-        e = self.edges(*([rel_type] if rel_type else []))
+        e = self.edges(*([rel_type] if rel_type else [])).where("label = 'ModelInstance'")
         return e.join(i.select(F.col("uid").alias("src")), "src", "left_semi").join(i.select(F.col("uid").alias("dst")), "dst", "left_semi").select("src", "type", "dst")
 
     def get_outgoing_model_instances(self, depth: int = 2, rel_type: str | None = None, anchors=None) -> DataFrame:
@@ -445,8 +447,77 @@ class Navigator:
         low = value.lower()
         return self.triples().where((F.lower("subject") == low) | (F.lower("object") == low))
 
+    def get_entity_relationships(self, direction: str = "both", rel_type: str | None = None, anchors=None) -> DataFrame:
+        """Edges between entities, seen from each entity."""
+        ids = self.table("labeled_entity").select("uid")
+        e = self.edges(*([rel_type] if rel_type else [])).where("label = 'LabeledEntity'")
+        e = e.join(ids.select(F.col("uid").alias("src")), "src", "left_semi").join(ids.select(F.col("uid").alias("dst")), "dst", "left_semi")
+        out = e.select(F.col("src").alias("anchor"), "type", F.col("dst").alias("other"), F.lit("out").alias("direction"))
+        into = e.select(F.col("dst").alias("anchor"), "type", F.col("src").alias("other"), F.lit("in").alias("direction"))
+        if direction not in ("in", "out", "both"):
+            raise ValueError("direction is in, out or both")
+        return self._anchored({"out": out, "in": into}.get(direction, out.union(into)).distinct(), anchors)
+
+    def get_related_entities(self, rel_type: str, direction: str = "out", anchors=None) -> DataFrame:
+        """Entities one hop away by a type of edge."""
+        near = self.get_entity_relationships(direction, rel_type, anchors).select("anchor", F.col("other").alias("uid"))
+        return near.join(self.table("labeled_entity").select("uid", "label", "value"), "uid").select("anchor", "uid", "label", "value")
+
+    def get_triples(self, anchors=None) -> DataFrame:
+        """subject, predicate, object below each node; the object hangs from the subject's result, or is null."""
+        m = self._anchored(self.table("mention").withColumnRenamed("node", "anchor"), anchors).select("anchor", "result", "entity")
+        names = self.table("labeled_entity").select("uid", "value")
+        e = self._entity_edges()
+        hit = m.join(e.withColumnsRenamed({"src": "entity", "dst": "other", "type": "predicate"}), "entity")
+        hit = hit.join(m.select("result", F.col("entity").alias("other")), ["result", "other"]).select("result", "entity", "predicate", "other")
+        df = m.join(hit, ["result", "entity"], "left").join(names.toDF("entity", "subject"), "entity").join(names.toDF("other", "object"), "other", "left")
+        return df.select("anchor", "subject", "predicate", "object")
+
+    def _entity_edges(self) -> DataFrame:
+        return self.get_entity_relationships("out").select(F.col("anchor").alias("src"), "type", F.col("other").alias("dst"))
+
+    def get_model_instance_by_key(self, wanted: DataFrame, model_class: str, key_fields: list[str]) -> DataFrame:
+        """The instance of each row's key fields, in the scope's tenant first, then the public one.
+
+        Keys are compared as they are normalised, and rows without an instance stay out.
+        """
+        if self.scope.tenant_id is None:
+            raise ValueError("a key needs one tenant")
+        have = self.table("model_instance").where(F.col("model_class") == model_class)
+        keyed = lambda df, get: df.withColumn("_uid", instance_uid(model_class, {k: normalize_key(get(k).cast("string")) for k in key_fields}))
+        own = F.when(F.col("tenant_id") == self.scope.tenant_id, 0).otherwise(1)
+        found = keyed(have, lambda k: F.col("props")[k]).groupBy("_uid").agg(F.min_by("uid", F.struct(own, "uid")).alias("uid"))
+        return keyed(wanted, F.col).join(found, "_uid").select(*wanted.columns, "uid")
+
     # -- catalogue and introspection
 
+    def list_catalog_models(self, include_fields: bool = False) -> DataFrame:
+        """Declared models with their themes; a row per field if asked for."""
+        df = self.graph.catalog_model
+        if not include_fields:
+            return df.select("model_class", "theme")
+        return df.select("model_class", "theme", F.explode_outer("fields").alias("f")).select("model_class", "theme", F.col("f.name").alias("field"), F.col("f.type").alias("type"))
+
+    def get_catalog_graph(self, presence: str | None = None) -> dict[str, DataFrame]:
+        """models, labels and relations as declared; relations stay only where both ends do."""
+        models, labels, relations = self.list_catalog_models(), self.graph.catalog_label, self.graph.catalog_relation
+        if presence is not None:
+            models = self.list_model_classes_present(models, presence)
+            labels = labels.join(self.table("labeled_entity").select("label").distinct(), "label", "left_semi")
+            kept = models.select("model_class").union(labels.select("label"))
+            relations = relations.join(kept.toDF("source"), "source", "left_semi").join(kept.toDF("target"), "target", "left_semi")
+        return {"models": models, "labels": labels, "relations": relations.select("source", "type", "target")}
+
+    def get_catalog_graph_in_use(self, presence: str = "both") -> dict[str, DataFrame]:
+        return self.get_catalog_graph(presence)
+
+    def list_node_labels(self) -> DataFrame:
+        """Labels that the graph has nodes of."""
+        fixed = (("Document", "document"), ("StructureNode", "structure_node"), ("InfoUnit", "info_unit"), ("ModelDecision", "model_decision"), ("ExtractionResult", "extraction_result"), ("ModelInstance", "model_instance"), ("LabeledEntity", "labeled_entity"))
+        parts = [self.table(t).limit(1).select(F.lit(label).alias("label")) for label, t in fixed]
+        parts += [self.table("structure_node").select(F.col("role").alias("label")).distinct(), self.table("labeled_entity").select("label").distinct()]
+        return reduce(DataFrame.union, parts).distinct()
+
     def list_model_classes_in_use(self) -> DataFrame:
         both = self.table("model_instance").groupBy("model_class").agg(F.count("*").alias("n")).union(self.table("extraction_result").groupBy("model_class").agg(F.count("*").alias("n")))
         return both.groupBy("model_class").agg(F.sum("n").alias("n"))
@@ -504,7 +575,40 @@ class Navigator:
             raise PermissionError("only reading queries are allowed")
         return spark.sql(query, args=dict(params or {}))
 
-    # -- source text
+    # -- source text, originals, images
+
+    def get_structure_nodes_source_pages(self, wanted: DataFrame | None = None) -> dict[str, DataFrame]:
+        """pages: each page once; nodes: per wanted node its page ids found and not found; missing: unknown node ids."""
+        n, p = self.table("node_page"), self.table("page")
+        n = n if wanted is None else n.join(wanted.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+        seen = n.join(p.select("page_id", F.lit(True).alias("found")), "page_id", "left")
+        ids = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("page_id"))))
+        nodes = seen.groupBy("node").agg(ids(F.col("found")).alias("found"), ids(F.col("found").isNull()).alias("not_found"))
+        out = {"pages": p.join(n.select("page_id").distinct(), "page_id", "left_semi"), "nodes": nodes}
+        if wanted is not None:
+            out["missing"] = wanted.select("id").distinct().join(self.table("structure_node").select("id"), "id", "left_anti")
+        return out
+
+    def get_info_unit_source_text(self, anchors=None) -> DataFrame:
+        """The page of the node that owns each unit."""
+        units = self._anchored(self.table("info_unit").select(F.col("uid").alias("anchor"), "node"), anchors)
+        return units.join(self.table("node_page").select("node", "page_id"), "node").join(self.table("page").select("page_id", "page_index", "markdown"), "page_id").select("anchor", "page_index", "markdown")
+
+    def get_document_original(self, anchors=None) -> DataFrame:
+        """The original file of each document: size, digest and bytes."""
+        return self._anchored(self.table("raw_file").withColumnRenamed("doc", "anchor"), anchors).select("anchor", "size", "sha256", "content")
+
+    def get_document_images(self, anchors=None, page_indexes: list[int] | None = None, kind: str | None = None) -> DataFrame:
+        """Stored images without their bytes."""
+        df = self._anchored(self.table("image").withColumnRenamed("doc", "anchor"), anchors)
+        df = df if page_indexes is None else df.where(F.col("page_index").isin(page_indexes))
+        df = df if kind is None else df.where(F.col("kind") == kind)
+        return df.select("anchor", "page_index", "image_index", "kind", F.length("content").cast("long").alias("size"))
+
+    def get_page_image(self, document: str, page_index: int, image_index: int) -> DataFrame:
+        """One stored image with its bytes."""
+        at = (F.col("doc") == document) & (F.col("page_index") == page_index) & (F.col("image_index") == image_index)
+        return self.table("image").where(at).select("doc", "page_index", "image_index", "kind", "content")
 
     def get_document_source_text(self, lines_per_page: int = 100) -> DataFrame:
         """The pages of each document, in order."""

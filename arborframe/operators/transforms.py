@@ -94,3 +94,75 @@ def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 def merge_entities(rows: DataFrame) -> DataFrame:
     """Keyed merge: the first value by seq stays, provenance accumulates. rows: uid, value, seq, job_id."""
     return rows.groupBy("uid").agg(F.min_by("value", "seq").alias("value"), F.array_sort(F.collect_set("job_id")).alias("job_ids"))
+
+
+def namespaced(page: Column, node_id: Column) -> Column:
+    """A node's id made unique over the pages of a document."""
+    return F.concat(F.lit("page-"), page.cast("string"), F.lit("::"), node_id)
+
+
+def renumbered(nodes: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """appearance_order from 1 within siblings."""
+    return nodes.withColumn("appearance_order", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+
+
+def compact_parents(nodes: DataFrame, group: str, top: tuple[str, ...] = ("Section", "Appendix")) -> DataFrame:
+    """group, id, parent: top roles stand at the root; others under the parent named, else the deepest prefix, else there.
+
+    nodes: group, id, role, parent_id.
+    """
+    given = nodes.select(group, "id", "role", "parent_id")
+    known = given.select(group, F.col("id").alias("parent_id"), F.lit(True).alias("known")).distinct()
+    prefix = prefix_parents(nodes, group, "id").withColumnRenamed("parent", "prefix")
+    df = given.join(known, [group, "parent_id"], "left").join(prefix, [group, "id"])
+    named = F.when(F.col("known") & (F.col("parent_id") != F.col("id")), F.col("parent_id"))
+    return df.select(group, "id", F.when(~F.col("role").isin(*top), F.coalesce(named, "prefix")).alias("parent"))
+
+
+def active_branch(nodes: DataFrame, group: str, order: str, parent: str) -> DataFrame:
+    """group, id, level of the rightmost open path: from the last node up to its root.
+
+    The climb ends within the known nodes of a group, as a parent stands before its children.
+    """
+    last = nodes.groupBy(group).agg(F.max_by("id", order).alias("anchor"))
+    up = nodes.where(F.col(parent).isNotNull()).select(group, F.col("id").alias("node"), F.col(parent).alias("next"))
+    level = last.select(group, F.col("anchor").alias("node"))
+    out = level.withColumn("level", F.lit(0))
+    for n in range(1, traverse.check_depth(10) + 1):
+        level = level.join(up, [group, "node"]).select(group, F.col("next").alias("node"))
+        out = out.union(level.withColumn("level", F.lit(n)))
+    return out.withColumnRenamed("node", "id")
+
+
+def output_parts(sizes: list[int], ceiling: float) -> list[tuple[int, int]]:
+    """Ranges of items whose outputs, estimated by the mean size, stay under a ceiling; one item at least each."""
+    if not sizes:
+        return []
+    if sum(sizes) <= ceiling:
+        return [(0, len(sizes))]
+    most = max(1, int(ceiling // max(1, sum(sizes) // len(sizes))))
+    return [(s, min(s + most, len(sizes))) for s in range(0, len(sizes), most)]
+
+
+def best_theme(df: DataFrame, detected: str, themes: DataFrame, default: str = "default") -> DataFrame:
+    """df with ``theme``: the longest theme that is a path prefix of the detected one, else the default.
+
+    themes: a column theme, the declared ones.
+    """
+    parts = F.split(detected, "/")
+    tries = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    asked = df.select(detected).where(F.col(detected).isNotNull()).distinct()
+    hit = asked.withColumn("theme", F.explode(tries)).join(themes.select("theme").distinct(), "theme")
+    best = hit.groupBy(detected).agg(F.max_by("theme", F.length("theme")).alias("theme"))
+    return df.join(best, detected, "left").withColumn("theme", F.coalesce("theme", F.lit(default)))
+
+
+def annotation_context(nodes: DataFrame, units: DataFrame, children: DataFrame, roles: tuple[str, ...] = ("Table", "FreeformBlock", "Figure")) -> DataFrame:
+    """id, title, units, children: what a decision about a node is made from, each list in order.
+
+    nodes: id, title. units: node, order, description. children: src, dst, role, title, appearance_order.
+    """
+    u = units.groupBy(F.col("node").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "description"))), lambda x: x["description"]).alias("units"))
+    c = children.where(F.col("role").isin(*roles)).groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("appearance_order", "title"))), lambda x: x["title"]).alias("children"))
+    empty = F.array().cast("array<string>")
+    return nodes.join(u, "id", "left").join(c, "id", "left").select("id", "title", F.coalesce("units", empty).alias("units"), F.coalesce("children", empty).alias("children"))

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 LINES_PER_PART, PARTS_PER_SECTION = 5, 4
 
+#: The label that edges of a type start from, where it is not an instance; plans prune other parts by it.
+STARTS = {"IS_COMPOSED_OF": "Document", "HAS_NEWER_VERSION": "Document", "HAS_STRUCTURE": "Document", "HAS_CHILD": "StructureNode", "HAS_INFO_UNIT": "StructureNode", "HAS_DECISION": "StructureNode", "HAS_EXTRACTION": "StructureNode", "HAS_REGION": "ExtractionResult", "REQUESTS": "LabeledEntity"}
+
 
 def doc_key(tenant: Column, path: Column, version: Column) -> Column:
     return F.concat_ws("::", tenant, path, version.cast("string"))
@@ -17,7 +20,7 @@ def doc_key(tenant: Column, path: Column, version: Column) -> Column:
 
 @dataclass
 class Graph:
-    """One DataFrame per label, and edges (tenant_id, src, type, dst, field)."""
+    """One DataFrame per label, and edges (tenant_id, src, type, dst, field, label), label being that of their start."""
 
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -128,8 +131,60 @@ class SampleGraph:
         norm = normalize_key(F.col("value"), ascii_only=True)
         return found.select("tenant_id", uid(F.lit("le"), F.col("tenant_id"), F.col("label"), norm).alias("uid"), "label", "value", norm.alias("normalized_value"))
 
+    @cached_property
+    def mention(self) -> DataFrame:
+        """Entities that hang from an extraction result: its document's number picks them by their length."""
+        found = self.labeled_entity.select("tenant_id", F.col("uid").alias("entity"), (F.length("value") % 3).cast("long").alias("pick"))
+        return self.extraction_result.withColumn("pick", F.col("doc_id").cast("long") % 3).join(found, ["tenant_id", "pick"]).select("tenant_id", "node", F.col("uid").alias("result"), "entity")
+
+    @cached_property
+    def page(self) -> DataFrame:
+        """Stored pages: the text of a document's sections, by their order."""
+        per = LINES_PER_PART * PARTS_PER_SECTION
+        g = self._lines.groupBy("tenant_id", "doc", F.floor(F.col("i") / per).cast("int").alias("page_index")).agg(F.array_sort(F.collect_list(F.struct("i", "line"))).alias("l"))
+        return g.select("tenant_id", "doc", "page_index", F.concat_ws("::p", "doc", F.col("page_index").cast("string")).alias("page_id"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("markdown"))
+
+    @cached_property
+    def node_page(self) -> DataFrame:
+        """The stored page that each structure node comes from."""
+        section = F.regexp_extract("id", "::[sb]([0-9]+)[^:]*$", 1).cast("int")
+        per = LINES_PER_PART * PARTS_PER_SECTION
+        at = F.when(F.col("role").isin("Section", "Subsection"), section).otherwise(F.floor(section / per)).cast("int")
+        return self.structure_node.select("tenant_id", F.col("id").alias("node"), "doc", F.concat_ws("::p", "doc", at.cast("string")).alias("page_id"))
+
+    @cached_property
+    def raw_file(self) -> DataFrame:
+        """Originals as they were uploaded, with size and digest."""
+        key = doc_key(F.col("tenant_id"), F.col("path"), F.col("newest"))
+        return self.leaf.select("tenant_id", key.alias("doc"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")).withColumn("size", F.length("content").cast("long")).withColumn("sha256", F.sha2("content", 256))
+
+    @cached_property
+    def image(self) -> DataFrame:
+        """Stored images: one for each table row of a document, its bytes the row's."""
+        tables = self._lines.where(F.contains("line", F.lit("|")))
+        per = LINES_PER_PART * PARTS_PER_SECTION
+        return tables.select("tenant_id", "doc", F.floor(F.col("i") / per).cast("int").alias("page_index"), F.col("i").alias("image_index"), F.when(F.length("line") > 40, "figure").otherwise("icon").alias("kind"), F.encode("line", "UTF-8").alias("content"))
+
+    @cached_property
+    def catalog_model(self) -> DataFrame:
+        from .catalogue import SAMPLE
+
+        return SAMPLE.models(self.spark)
+
+    @cached_property
+    def catalog_relation(self) -> DataFrame:
+        from .catalogue import SAMPLE
+
+        return SAMPLE.relations(self.spark)
+
+    @cached_property
+    def catalog_label(self) -> DataFrame:
+        from .catalogue import SAMPLE
+
+        return SAMPLE.labels(self.spark)
+
     def _edge(self, df: DataFrame, src: Column, kind: str, dst: Column, name: str | None = None) -> DataFrame:
-        return df.select("tenant_id", src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"), F.lit(name).cast("string").alias("field"))
+        return df.select("tenant_id", src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"), F.lit(name).cast("string").alias("field"), F.lit(STARTS.get(kind, "ModelInstance")).alias("label"))
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -140,6 +195,7 @@ class SampleGraph:
         n, u, x = self.structure_node, self.info_unit, self.extraction_result
         later = self.leaf.where("newest = 2")
         entity = lambda label, c: uid(F.lit("le"), F.col("tenant_id"), F.lit(label), normalize_key(F.col(c), ascii_only=True))
+        asked = self.source("orders").join(self._customers.select("tenant_id", "c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")).where("c_mktsegment IS NOT NULL AND o_orderpriority IS NOT NULL").select("tenant_id", "c_mktsegment", "o_orderpriority").distinct()
         orders = self._orders.withColumn("next", F.expr("lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"))
         parts = [
             e(doc.where("is_folder AND path <> tenant_id"), doc_key(F.col("tenant_id"), F.col("tenant_id"), one), "IS_COMPOSED_OF", F.col("key")),
@@ -157,5 +213,6 @@ class SampleGraph:
             e(orders.where("next IS NOT NULL"), self._uid("Order", "o_orderkey"), "FOLLOWED_BY", self._uid("Order", "next")),
             e(self._customers.where("c_mktsegment IS NOT NULL"), self._uid("Customer", "c_custkey"), "REFERENCES", entity("Segment", "c_mktsegment"), "segment"),
             e(self._orders.where("o_orderpriority IS NOT NULL"), self._uid("Order", "o_orderkey"), "REFERENCES", entity("Priority", "o_orderpriority"), "priority"),
+            e(asked, entity("Segment", "c_mktsegment"), "REQUESTS", entity("Priority", "o_orderpriority")),
         ]
         return reduce(DataFrame.union, parts)

@@ -17,6 +17,7 @@ from .operators.transforms import assemble_tree, merge_entities, merge_values, n
 from .oracles import GRAPH, SQL, oracle
 from .plans.graph import SampleGraph
 from .plans.store import stored
+from .record_queries import RECORDS
 from .session import prepare
 from .sources.text import html_pages, json_items, segments, text_pages
 
@@ -235,5 +236,6 @@ def _round_trip(n: Navigator) -> DataFrame:
     return restore(existing, rows).groupBy("label").agg(F.count("*").alias("n"))
 
 
+MORE |= {k: _q(lambda s, d, n, make=make: make(n), sql, graph) for k, (make, sql, graph) in RECORDS.items()}
 QUERIES |= {k: v[0] for k, v in MORE.items()}
 ORACLES |= {k: v[1] for k, v in MORE.items()}
