@@ -44,10 +44,40 @@ def _frozen(n):
     return out["document"].groupBy("snapshot_id").agg(F.count("*").alias("documents")).withColumn("snapshot_id", F.coalesce("snapshot_id", F.lit("none")))
 
 
+def _first(n):
+    """Tenant, path, newest version and key of the document with the smallest number, for point lookups."""
+    r = n.graph.leaf.select("doc_id", "tenant_id", "path", "newest").orderBy("doc_id").limit(1).first()
+    return r.tenant_id, r.path, r.newest, f"{r.tenant_id}::{r.path}::{r.newest}"
+
+
+_FIRST = ", first AS (SELECT *, tenant_id || '::' || path || '::' || newest AS key FROM leaf WHERE doc_id = (SELECT min(doc_id) FROM leaf)) "
+
+
+def _entity_uid(n):
+    return n.table("labeled_entity").agg(F.min("uid")).first()[0]
+
+
+def _image(n):
+    r = n.get_document_images().orderBy("anchor", "page_index", "image_index").limit(1).first()
+    return n.get_page_image(r.anchor, r.page_index, r.image_index).select("doc", "page_index", "image_index", F.sha2("content", 256).alias("sha256"))
+
+
 _EVENT_SNAPSHOTS = "user_id AS document, event_type AS snapshot_id, ts AS stored_at"
 
 #: Name: what makes the result from a navigator, SQL, and whether the SQL needs the graph's tables.
 RECORDS = {
+    "get_one_document": (lambda n: n.get_one_document(_first(n)[1], _first(n)[2]).select("key", "name", "latest"), _FIRST + "SELECT key, CAST(doc_id AS VARCHAR) AS name, true AS latest FROM first", True),
+    "get_version_chain": (lambda n: n.get_version_chain(), "SELECT tenant_id, path, version, latest FROM document", True),
+    "get_structure_node": (lambda n: n.get_structure_node(_first(n)[3] + "::s0").select("id", "role", "title"), _FIRST + "SELECT id, role, title FROM node WHERE id = (SELECT key || '::s0' FROM first)", True),
+    "get_info_unit": (lambda n: n.get_info_unit(_first(n)[3] + "::u0").select("uid", "node", "title"), _FIRST + "SELECT uid, node, title FROM unit WHERE uid = (SELECT key || '::u0' FROM first)", True),
+    "get_model_instance": (lambda n: n.get_model_instance("Nation:0").select("uid", "model_class", F.col("props")["name"].alias("name")), "SELECT uid, model_class, name FROM instance WHERE uid = 'Nation:0'", True),
+    "get_labeled_entity": (lambda n: n.get_labeled_entity(_entity_uid(n)).select("uid", "label", "value"), "SELECT uid, label, value FROM entity WHERE uid = (SELECT min(uid) FROM entity)", True),
+    "get_nodes_referencing_entity": (
+        lambda n: n.get_nodes_referencing_entity(),
+        ", c AS (SELECT DISTINCT x.node AS owner, c.dst AS inst FROM edge r JOIN result x ON r.src = x.uid AND r.type = 'HAS_REGION' JOIN edge t ON t.src = r.dst AND t.type = 'HAS_NATION' JOIN edge c ON c.src = t.dst AND c.type = 'HAS_CUSTOMER') SELECT DISTINCT e.dst AS entity, c.owner FROM c JOIN edge e ON e.src = c.inst AND e.type = 'REFERENCES'",
+        True,
+    ),
+    "get_page_image": (_image, "SELECT doc, CAST(i // 20 AS INTEGER) AS page_index, i AS image_index, sha256(line) AS sha256 FROM line WHERE contains(line, '|') ORDER BY doc, i LIMIT 1", True),
     "get_entity_relationships": (lambda n: n.get_entity_relationships(), "SELECT src AS anchor, type, dst AS other, 'out' AS direction FROM edge WHERE type = 'REQUESTS' UNION ALL SELECT dst, type, src, 'in' FROM edge WHERE type = 'REQUESTS'", True),
     "get_related_entities": (lambda n: n.get_related_entities("REQUESTS"), "SELECT e.src AS anchor, d.uid, d.label, d.value FROM edge e JOIN entity d ON d.uid = e.dst WHERE e.type = 'REQUESTS'", True),
     "get_triples": (
