@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, few, shared_dir, strings, written
@@ -54,8 +54,13 @@ def _node(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def sketches(docs: DataFrame, size: int, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node and sketch (k smallest hashes) of every row."""
+def text_digest(text_col: str = "text") -> Column:
+    """Lowercase hex SHA-256 of the text as it is, null as empty."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def sketches(docs: DataFrame, size: int, k: int = K, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, node and sketch (k smallest hashes) of every row; if asked for, text_sha256 too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -65,9 +70,10 @@ def sketches(docs: DataFrame, size: int, k: int = K, id_col: str = "doc_id", tex
                 n.append(len(s))
                 node.append(_node(s) if len(s) else None)
                 sketch.append(s[:k].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), *b.columns[2:]], names=["doc_id", "n_shingles", "node", "sketch", *b.schema.names[2:]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>")
+    more = [text_digest(text_col).alias("text_sha256")] if digest else []
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>" + ", text_sha256 string" * digest)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, least: int, num: int, den: int) -> DataFrame:
@@ -203,10 +209,13 @@ def _family_links(families: DataFrame, comps: DataFrame | None, full: DataFrame,
     return cells.join(full, "node").groupBy("cell").applyInArrow(lambda t: _block_links(k, least, num, den)(t), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, k: int = K, short: int = SHORT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row; links need num/den of the union of two sets."""
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, k: int = K, short: int = SHORT, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; links need num/den of the union of two sets.
+
+    digest: with text_sha256, which tells rows that share an id apart.
+    """
     shared_dir(docs.sparkSession)
-    rows = written(sketches(docs, size, k, id_col, text_col), "rows")
+    rows = written(sketches(docs, size, k, id_col, text_col, digest), "rows")
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "nodes")
     least = least_common(k, num, den)
     smallest = next(i for i in range(1, den + 2) if i * den >= num * (i + 1))
@@ -240,5 +249,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     label = comps.join(least_id, "comp").select("node", "component_id")
     alone = nodes.select("node", F.col("first_id"))
     full = alone.join(label, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(full, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    more = ["text_sha256"] if digest else []
+    out = rows.select("doc_id", "n_shingles", "node", *more).join(full, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *more).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -6,7 +6,7 @@ next stage's documents. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arborframe.llm import exact_dedup, neardup, packing, pii, quality
@@ -14,14 +14,18 @@ from arborframe.llm.common import few, written
 from arborframe.llm.queries import vocabulary
 from arborframe.session import prepare
 
-#: Ids of dropped documents that are broadcast at most; more are joined by a shuffle.
-FEW_IDS = 1_000_000
+#: Dropped rows that are broadcast at most, by id and digest; more are joined by a shuffle.
+FEW_ROWS = 1_000_000
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids of dropped (a column ``gone``)."""
-    gone = few(written(dropped.distinct(), "gone"), FEW_IDS)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+def _without(docs: DataFrame, rows: DataFrame, digest: Column) -> DataFrame:
+    """docs without those of rows (doc_id, kept, text_sha256) that are not kept; digest: the same of docs' texts.
+
+    An id alone does not tell rows apart: it may be null or repeated. Rows alike in id and digest are kept or not alike.
+    """
+    dropped = rows.where("NOT kept").select(F.col("doc_id").alias("gone"), F.unhex("text_sha256").alias("gone_sha256")).distinct()
+    gone = few(written(dropped, "gone"), FEW_ROWS)
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")) & (F.unhex(digest) == F.col("gone_sha256")), "left_anti")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +39,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the smallest id stays."""
     prepare(spark)
-    return _without(docs, exact_dedup.exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("gone")))
+    return _without(docs, exact_dedup.exact_dedup(docs), exact_dedup.digest_of())
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five words, similarity 0.8), the document with the smallest id stays."""
     prepare(spark)
-    return _without(docs, neardup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone")))
+    return _without(docs, neardup.near_duplicates(docs, digest=True), neardup.text_digest())
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
