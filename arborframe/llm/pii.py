@@ -5,8 +5,9 @@ learns from labelled spans in generated sentences, which hold the patterns' form
 (national phone numbers, addresses with "(at)"), beside dates, versions, prices and codes that are none. It reads
 overlapping windows around every digit and at-sign: no personal data of these kinds is without one. Each window
 is decoded by Viterbi; where windows overlap, a character takes its tag from the window in which it lies deepest,
-and spans are then read off the whole text. A span of the network is added where no pattern has matched, not even
-one whose check failed.
+and spans are then read off the whole text. A span of the network is added where no pattern has matched. Where one has
+matched but its check failed, none is added either, except that a run of 12 or more digits that is no card bars cards
+only: national phone numbers look like the runs of a card, or are parts of longer ones.
 
 Defined results: null texts count as empty; a text without findings has zero counts and empty spans. Whole texts
 are read, whatever their length, and the memory is that of a batch of windows. Rows that repeat are read each.
@@ -29,7 +30,7 @@ from .common import strings
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, SURE = 64, 32, 0.9
-HIDDEN, EMBED, STEPS, BATCH, SEED = 16, 8, 260, 48, 5
+HIDDEN, EMBED, STEPS, BATCH, SEED = 16, 8, 520, 48, 5
 
 _domain = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -49,8 +50,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def patterns(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Base spans as (start, kind, end), and all matches, failed checks too."""
+#: Kinds of the network's spans that a match bars.
+ALL, CARDS = frozenset(range(len(KINDS))), frozenset([2])
+
+
+def patterns(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, frozenset[int]]]]:
+    """Base spans as (start, kind, end), and all matches, failed checks too, with the kinds that they bar."""
     found, tried = [], []
     if "@" in text:
         last = 0
@@ -60,21 +65,22 @@ def patterns(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int
                 s -= 1
             if s < m.start():
                 found.append((s, 0, m.end()))
-                tried.append((s, m.end()))
+                tried.append((s, m.end(), ALL))
                 last = m.end()
     for m in _ip.finditer(text):
-        tried.append(m.span())
+        tried.append((*m.span(), ALL))
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
             found.append((m.start(), 1, m.end()))
     for m in _card.finditer(text):
         digits = _digit.sub("", m[0])
-        if len(digits) > 8:
-            tried.append(m.span())
-        if 12 <= len(digits) <= 19 and luhn(digits):
+        card = 12 <= len(digits) <= 19 and luhn(digits)
+        if len(digits) >= 12:
+            tried.append((*m.span(), ALL if card else CARDS))
+        if card:
             found.append((m.start(), 2, m.end()))
     if "+" in text:
         for m in _phone.finditer(text):
-            tried.append(m.span())
+            tried.append((*m.span(), ALL))
             if 9 <= len(_digit.sub("", m[0])) <= 15:
                 found.append((m.start(), 3, m.end()))
     return sorted(found), tried
@@ -242,7 +248,7 @@ def _digits(r: random.Random, n: int) -> str:
 def sample(r: random.Random) -> tuple[str, int]:
     """A piece of text and its kind, or -1."""
     d = functools.partial(_digits, r)
-    pick = r.randrange(22)
+    pick = r.randrange(26)
     if pick < 5:
         user = (_word(r) + r.choice(["", ".", "_", "-"]) + r.choice([_word(r), d(2), ""])).strip("._-")
         host = _word(r).lower() + r.choice(["", d(1)]) + "." + r.choice(["com", "org", "net", "example.com", "co.uk", "de"])
@@ -256,12 +262,14 @@ def sample(r: random.Random) -> tuple[str, int]:
         return f"+{r.randint(1, 99)} {r.choice(['(' + d(3) + ')', d(3)])} {d(3)}{r.choice(['-', ' '])}{d(4)}", 3
     if pick < 14:
         return r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"({d(3)}){d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"({d(4)}) {d(6)}"]), 3
-    if pick < 16:
-        return r.choice([f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/19{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"{d(1)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}"]), -1
     if pick < 18:
-        return r.choice([f"{d(1)}.{d(1)}", f"v{d(1)}.{d(2)}.{d(1)}", f"version {d(1)}.{d(1)}", f"{d(2)}.{d(2)} EUR", f"${d(3)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}"]), -1
+        return r.choice([f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"0{d(2)} {d(8)}", f"0{d(2)} {d(4)} {d(4)}", f"({d(3)}) {d(r.randint(7, 10))}"]), 3
     if pick < 20:
-        return r.choice([d(r.randint(1, 8)), "0x" + d(6), "".join(r.choices("0123456789abcdef", k=r.randint(20, 40))), f"#{d(4)}", f"{d(5)}-{d(4)}", f"{d(1)}-{d(2)}-{d(5)}-{d(3)}"]), -1
+        return r.choice([f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}/{d(2)}/19{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"{d(1)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}"]), -1
+    if pick < 22:
+        return r.choice([f"{d(1)}.{d(1)}", f"v{d(1)}.{d(2)}.{d(1)}", f"version {d(1)}.{d(1)}", f"{d(2)}.{d(2)} EUR", f"${d(3)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}"]), -1
+    if pick < 24:
+        return r.choice([d(r.randint(1, 8)), d(r.randint(9, 12)), "0x" + d(6), "".join(r.choices("0123456789abcdef", k=r.randint(20, 40))), f"#{d(4)}", f"{d(5)}-{d(4)}", f"{d(1)}-{d(2)}-{d(5)}-{d(3)}", " ".join(d(r.randint(1, 4)) for _ in range(r.randint(4, 8)))]), -1
     return r.choice(["@" + _word(r), "(" + _word(r) + ")", "%%%", "***", "A" + d(3) + "-" + d(2)]), -1
 
 
@@ -297,8 +305,8 @@ def windows(text: str) -> list[int]:
     return starts
 
 
-def added(texts: list[str], tried: list[list[tuple[int, int]]], model: Tagger, chunk: int = 512) -> list[list[tuple[int, int, int]]]:
-    """The network's spans of each text that no pattern has touched, as (start, kind, end)."""
+def added(texts: list[str], tried: list[list[tuple[int, int, frozenset[int]]]], model: Tagger, chunk: int = 512) -> list[list[tuple[int, int, int]]]:
+    """The network's spans of each text that no match bars, as (start, kind, end)."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     queue: list[tuple[int, int]] = []
     codes = {}
@@ -335,7 +343,7 @@ def added(texts: list[str], tried: list[list[tuple[int, int]]], model: Tagger, c
     return out
 
 
-def _spans(held: dict[int, tuple[int, int, float]], text: str, tried: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+def _spans(held: dict[int, tuple[int, int, float]], text: str, tried: list[tuple[int, int, frozenset[int]]]) -> list[tuple[int, int, int]]:
     spans, run = [], []
     for at in [*sorted(held), -1]:
         tag = held[at][1] if at >= 0 else 0
@@ -345,7 +353,7 @@ def _spans(held: dict[int, tuple[int, int, float]], text: str, tried: list[tuple
             digits = len(_digit.sub("", piece))
             whole = {0: "@" in piece or "at" in piece, 1: piece.count(".") >= 3, 2: digits >= 12, 3: 9 <= digits <= 15}[kind]
             sure = sum(held[c][2] for c in run) / len(run)
-            if held[run[0]][1] % 2 and whole and sure >= SURE and not any(s <= run[-1] and run[0] < e for s, e in tried):
+            if held[run[0]][1] % 2 and whole and sure >= SURE and not any(kind in bars and s <= run[-1] and run[0] < e for s, e, bars in tried):
                 spans.append((run[0], kind, run[-1] + 1))
             run = []
         if tag and (run or tag % 2):
