@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.store import stored
 from . import traverse
 
 ORPHAN_HOPS = 7
@@ -35,16 +36,25 @@ def select_documents(documents: DataFrame, tenant_id: str | None = None, path: s
     return df.where(F.col("path") == path) if path is not None else df.where(F.col("job_id") == job_id)
 
 
-def delete_cascade(nav, seeds: DataFrame, depth: int = 3, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
+def with_composed(nav, seeds: DataFrame) -> DataFrame:
+    """key of the seeds and of all documents composed of them, to any depth, each once."""
+    start = stored(seeds.select(F.col("key").alias("anchor")).distinct())
+    below = traverse.closure(start, nav.edges("IS_COMPOSED_OF"))
+    return stored(start.select(F.col("anchor").alias("key")).union(below.select(F.col("node").alias("key"))).distinct())
+
+
+def nodes_below(nav, documents: DataFrame) -> DataFrame:
+    """anchor (document key), node of all structure nodes of the documents (a column key), to any depth."""
+    return nav.nodes_of_documents(None, documents.select(F.col("key").alias("anchor"))).select("anchor", "node")
+
+
+def delete_cascade(nav, seeds: DataFrame, documents: DataFrame | None = None, nodes: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables without the seed documents, what is composed of them, and all that hangs from their nodes.
 
-    nodes: the nodes below them (a column node), if they are known already.
+    documents: what with_composed() gives for the seeds, nodes: what nodes_below() gives for those, if known already.
     """
-    start = seeds.select(F.col("key").alias("anchor"))
-    below = traverse.walk(start, nav.edges("IS_COMPOSED_OF"), depth).select(F.col("node").alias("key"))
-    gone = start.select(F.col("anchor").alias("key")).union(below).distinct()
-    if nodes is None:
-        nodes = nav.nodes_of_documents(depth, gone.select(F.col("key").alias("anchor")))
+    gone = with_composed(nav, seeds) if documents is None else documents
+    nodes = nodes_below(nav, gone) if nodes is None else nodes
     nodes = nodes.select("node").distinct()
     out = {"document": nav.table("document").join(gone, "key", "left_anti"), "structure_node": nav.table("structure_node").join(nodes.withColumnRenamed("node", "id"), "id", "left_anti")}
     for name in ("info_unit", "model_decision", "extraction_result"):
@@ -64,11 +74,14 @@ def unreferenced(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return entities.select("uid").join(edges.select(F.col("dst").alias("uid")), "uid", "left_anti")
 
 
-def snapshot(nav, seeds: DataFrame, depth: int = 3, nodes: DataFrame | None = None) -> DataFrame:
-    """The seeds' subtrees as rows of (document, label, key, properties JSON); nodes as in delete_cascade, with anchor."""
-    start = seeds.select(F.col("key").alias("anchor"))
-    nodes = nav.nodes_of_documents(depth, start) if nodes is None else nodes
-    docs = nav.table("document").join(start.select(F.col("anchor").alias("key")), "key", "left_semi")
+def snapshot(nav, seeds: DataFrame, documents: DataFrame | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """The subtrees of the seeds and of what is composed of them as rows of (document, label, key, properties JSON).
+
+    documents and nodes as in delete_cascade, so that what a deletion takes away is what the snapshot holds.
+    """
+    documents = with_composed(nav, seeds) if documents is None else documents
+    nodes = nodes_below(nav, documents) if nodes is None else nodes
+    docs = nav.table("document").join(documents, "key", "left_semi")
     row = lambda df, doc, label, key: df.select(F.col(doc).alias("document"), F.lit(label).alias("label"), F.col(key).alias("key"), F.to_json(F.struct(*(c for c in df.columns if c != "anchor"))).alias("properties"))
     out = row(docs, "key", "Document", "key")
     out = out.union(row(nodes.select("anchor", F.col("node").alias("id")).join(nav.table("structure_node"), "id"), "anchor", "StructureNode", "id"))
@@ -103,22 +116,25 @@ def sweep(instances: DataFrame, entities: DataFrame, results: DataFrame, edges:
     return {"model_instance": gone, "labeled_entity": unreferenced(entities, left)}
 
 
-def leaves_or_self(documents: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
-    """anchor, leaf: the leaves below each document, or the document itself where nothing is below it."""
+def leaves_or_self(documents: DataFrame, edges: DataFrame) -> DataFrame:
+    """anchor, leaf: the leaves at any depth below each document, or the document itself where nothing is below it."""
     start = documents.select(F.col("key").alias("anchor"))
     inner = edges.select(F.col("src").alias("node")).distinct()
-    below = traverse.walk(start, edges, depth).join(inner, "node", "left_anti").select("anchor", "node")
+    below = traverse.closure(start, edges).join(inner, "node", "left_anti").select("anchor", "node")
     return start.join(below, "anchor", "left").select("anchor", F.coalesce("node", "anchor").alias("leaf"))
 
 
-def freeze(nav, seeds: DataFrame, snapshot_id: str, depth: int = 3, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """The seeds' snapshot, and the tables after it: documents stay as marked stubs, what hangs from them goes.
+def freeze(nav, seeds: DataFrame, snapshot_id: str, keep: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The snapshot of the seeds and what is composed of them, and the tables after it.
 
-    keep names tables that stay whole. The snapshot must be written before the tables are replaced.
+    All these documents stay as marked stubs, what hangs from them goes. keep names tables that stay whole. The
+    snapshot must be written before the tables are replaced.
     """
-    rows = snapshot(nav, seeds, depth)
-    left = delete_cascade(nav, seeds, depth)
-    marked = seeds.select("key", F.lit(snapshot_id).alias("snapshot_id")).distinct()
+    documents = with_composed(nav, seeds)
+    nodes = nodes_below(nav, documents)
+    rows = snapshot(nav, seeds, documents, nodes)
+    left = delete_cascade(nav, seeds, documents, nodes)
+    marked = documents.select("key", F.lit(snapshot_id).alias("snapshot_id"))
     left["document"] = nav.table("document").join(marked, "key", "left")
     for name in keep:
         left[name] = nav.table(name)

@@ -155,10 +155,10 @@ class Navigator:
 
     # -- structure nodes
 
-    def nodes_of_documents(self, depth: int = 3, anchors=None) -> DataFrame:
-        """anchor (document key), node, depth of all structure nodes below each document."""
-        starts = self._starts(self.table("document"), "key", anchors)
-        return traverse.walk(starts, self.edges("HAS_STRUCTURE", "HAS_CHILD"), depth)
+    def nodes_of_documents(self, depth: int | None = 3, anchors=None) -> DataFrame:
+        """anchor (document key), node, depth of all structure nodes below each document; depth None: to any depth."""
+        starts, edges = self._starts(self.table("document"), "key", anchors), self.edges("HAS_STRUCTURE", "HAS_CHILD")
+        return traverse.closure(starts, edges) if depth is None else traverse.walk(starts, edges, depth)
 
     def get_structure_nodes(self, depth: int = 3, anchors=None, roles: list[str] | None = None, title_contains: str | None = None, theme: str | None = None, conditions: Mapping[str, Any] | None = None) -> DataFrame:
         nodes = self.find_structure_nodes(title_contains=title_contains, theme=theme, conditions=conditions)

@@ -1,6 +1,7 @@
-"""Bounded walks over edges (src, type, dst).
+"""Walks over edges (src, type, dst).
 
-A walk of a fixed depth is a chain of equi-joins that Catalyst plans as a whole. Directed walks keep the set of
+A walk of a fixed depth is a chain of equi-joins that Catalyst plans as a whole; one without a bound writes each
+frontier out and ends when no new node appears. Directed walks keep the set of
 reached nodes with the least depth; walks that need whole paths carry the edges they have used, as no edge may
 repeat on a path while nodes may.
 """
@@ -12,6 +13,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import stored
+
 
 def check_depth(depth: int) -> int:
     if isinstance(depth, bool) or not isinstance(depth, int) or depth < 1:
@@ -43,6 +46,21 @@ def walk(anchors: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return reduce(DataFrame.union, levels).groupBy("anchor", "node").agg(F.min("depth").alias("depth"))
 
 
+def closure(anchors: DataFrame, edges: DataFrame) -> DataFrame:
+    """walk() without a bound."""
+    step = stored(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+    level = anchors.select("anchor", F.col("anchor").alias("node")).distinct()
+    levels: list[DataFrame] = []
+    while True:
+        level = level.join(step, "node").select("anchor", F.col("next").alias("node")).distinct()
+        if levels:
+            level = level.join(reduce(DataFrame.union, levels), ["anchor", "node"], "left_anti")
+        level = stored(level.select("anchor", "node", F.lit(len(levels) + 1).alias("depth")))
+        if level.isEmpty():
+            return reduce(DataFrame.union, levels) if levels else level
+        levels.append(level)
+
+
 def paths(anchors: DataFrame, edges: DataFrame, depth: int, both: bool = False) -> DataFrame:
     """anchor, node, depth, path (nodes), types: one row per path; no edge twice on a path."""
     out = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "type", F.xxhash64("src", "type", "dst").alias("edge"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.keys import ancestor_paths, edge_type, instance_uid, normalize_key
 from .functions.predicates import Op
 from .functions.scope import Scope
-from .operators.lifecycle import batch_version, delete_cascade, newer_versions, orphans, progress, restore, select_documents, snapshot, with_latest
+from .operators.lifecycle import batch_version, delete_cascade, newer_versions, nodes_below, orphans, progress, restore, select_documents, snapshot, with_composed, with_latest
 from .operators.navigator import Navigator, previous_page
 from .operators.transforms import assemble_tree, merge_entities, merge_values, normalization_key, prefix_parents, raw_rows, route_rows
 from .oracles import GRAPH, SQL, oracle
@@ -227,10 +227,11 @@ def _counts(tables: dict[str, DataFrame]) -> DataFrame:
 def _round_trip(n: Navigator) -> DataFrame:
     """What there is per label after a job's documents were exported, deleted and restored."""
     seeds = select_documents(n.table("document"), job_id="src0")
-    # both steps start from the same nodes, found once
-    nodes = stored(n.nodes_of_documents(3, seeds.select(F.col("key").alias("anchor"))))
-    rows = stored(snapshot(n, seeds, nodes=nodes).select("label", "key"))
-    left = delete_cascade(n, seeds, nodes=nodes)
+    # both steps start from the same documents and nodes, found once
+    documents = with_composed(n, seeds)
+    nodes = nodes_below(n, documents)
+    rows = stored(snapshot(n, seeds, documents, nodes).select("label", "key"))
+    left = delete_cascade(n, seeds, documents, nodes)
     names = {"document": ("Document", "key"), "structure_node": ("StructureNode", "id"), "info_unit": ("InfoUnit", "uid"), "model_decision": ("ModelDecision", "uid"), "extraction_result": ("ExtractionResult", "uid")}
     existing = reduce(DataFrame.union, [left[t].select(F.lit(label).alias("label"), F.col(key).alias("key")) for t, (label, key) in names.items()])
     return restore(existing, rows).groupBy("label").agg(F.count("*").alias("n"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.keys import normalize_key
-from .operators.lifecycle import freeze, leaves_or_self, newest_snapshot, restore_plan, restored_edges, select_documents, sweep
+from .operators.lifecycle import freeze, leaves_or_self, newest_snapshot, restore, restore_plan, restored_edges, select_documents, sweep
 from .operators.records import instance_rows, instantiate, keyed_links, sibling_links, source_values, upsert, with_shells, write_triples
 from .operators.transforms import active_branch, annotation_context, best_theme, compact_parents, merge_siblings, namespaced, renumbered
 from .plans.catalogue import SAMPLE
@@ -44,6 +47,16 @@ def _frozen(n):
     return out["document"].groupBy("snapshot_id").agg(F.count("*").alias("documents")).withColumn("snapshot_id", F.coalesce("snapshot_id", F.lit("none")))
 
 
+def _frozen_folder(n):
+    """What there is per label after a folder was frozen and restored, and how many documents the freeze marked."""
+    out = freeze(n, n.table("document").where("is_folder AND path = 'en'"), "s1")
+    names = {"structure_node": ("StructureNode", "id"), "info_unit": ("InfoUnit", "uid"), "model_decision": ("ModelDecision", "uid"), "extraction_result": ("ExtractionResult", "uid")}
+    left = [out[t].select(F.lit(label).alias("label"), F.col(key).alias("key")) for t, (label, key) in names.items()]
+    stubs = out["document"].where("snapshot_id = 's1'").select(F.lit("stub").alias("label"), "key")
+    rest = out["document"].where("snapshot_id IS NULL").select(F.lit("Document").alias("label"), "key")
+    return restore(reduce(DataFrame.union, [rest, *left]), out["snapshot"]).union(stubs).groupBy("label").agg(F.count("*").alias("n"))
+
+
 def _first(n):
     """Tenant, path, newest version and key of the document with the smallest number, for point lookups."""
     r = n.graph.leaf.select("doc_id", "tenant_id", "path", "newest").orderBy("doc_id").limit(1).first()
@@ -192,11 +205,16 @@ RECORDS = {
         True,
     ),
     "resolve_leaves": (
-        lambda n: leaves_or_self(n.table("document"), n.edges("IS_COMPOSED_OF"), 3),
+        lambda n: leaves_or_self(n.table("document"), n.edges("IS_COMPOSED_OF")),
         ", up AS (SELECT tenant_id || '::' || tenant_id || '::1' AS a, tenant_id || '::' || folder || '::1' AS b, tenant_id || '::' || path || '::' || v AS leaf FROM (SELECT *, unnest(range(1, newest + 1)) AS v FROM leaf)) SELECT a AS anchor, leaf FROM up UNION ALL SELECT b, leaf FROM up UNION ALL SELECT leaf, leaf FROM up",
         True,
     ),
     "freeze": (lambda n: _frozen(n), "SELECT CASE WHEN job_id = 'src0' THEN 's1' ELSE 'none' END AS snapshot_id, count(*) AS documents FROM document GROUP BY 1", True),
+    "freeze_folder": (
+        lambda n: _frozen_folder(n),
+        "SELECT 'Document' AS label, count(*) AS n FROM document UNION ALL SELECT 'StructureNode', count(*) FROM node UNION ALL SELECT 'InfoUnit', count(*) FROM unit UNION ALL SELECT 'ModelDecision', count(*) FROM decision UNION ALL SELECT 'ExtractionResult', count(*) FROM result UNION ALL SELECT 'stub', count(*) FROM document WHERE tenant_id = 'en'",
+        True,
+    ),
     "newest_snapshot": (lambda n: newest_snapshot(n.graph.source("events").selectExpr(*_EVENT_SNAPSHOTS.split(", "))), "SELECT user_id AS document, max_by(event_type, (ts, event_type)) AS snapshot_id FROM events GROUP BY 1", False),
     "restore_plan": (
         lambda n: restore_plan(n.graph.source("orders").select(F.col("o_orderkey").alias("document"), F.col("o_orderstatus").alias("snapshot_id")), n.graph.source("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") != "O", "F").alias("snapshot_id"))),
