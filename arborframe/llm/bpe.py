@@ -1,16 +1,20 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash of the last 32 bytes meets a mask, so that passages shared by documents
-give the same chunks wherever they stand. A chunk met again by the same worker is not encoded again (a
-cache with a bound in bytes). Chunks are encoded on their own, which can differ from the whole text's ids
-around a join: there the end of one chunk and the start of the next are re-encoded together, in a window
-that grows until the window's own parts agree exactly with what the chunks have, and the join is replaced.
+give the same chunks wherever they stand. A chunk met again by the same worker is not encoded again: the
+chunks used last are kept, by a digest, up to a bound in bytes. Chunks are encoded on their own, which can
+differ from the whole text's ids around a join: there a window from the last place in front of the join to
+the first one after it at which a chunk's own ids agree with those of its part is encoded anew, and replaces
+what the chunks had. Where a chunk has no such place, the window grows over it to the next chunk, and is
+encoded once when it ends: every byte is encoded at most twice, whatever the text.
 
-A window ends at a safe place where there is one: a space between two characters that are not white space
-always starts a new piece of the tokenizer's split pattern.
+Such places are those at which the tokenizer's split pattern always starts a new piece: after a character
+that is not white space, at a space before another such one, or where letters, digits and other characters
+meet (not between an apostrophe and a letter).
 
 Null texts count as empty (no ids). Very long texts are chunked like others; the memory is that of one
-document's ids. Documents without any cut form one chunk. Repeated rows give repeated results.
+document's ids. Documents without any cut form one chunk. Repeated rows give repeated results. Other columns
+are not read, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -18,15 +22,17 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import re
+import json
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings
+from .common import lean, strings
 
 #: The string that the vocabulary adds as a token of its own, and its id.
 ADDED, ADDED_ID = "<|endoftext|>", 50256
@@ -34,7 +40,8 @@ ADDED, ADDED_ID = "<|endoftext|>", 50256
 CUT_EVERY, CUT_LEAST = 2048, 512
 CHUNK_CACHE_BYTES = 24 << 20
 
-_safe = re.compile(r"(?<=\S)\x20(?=\S)")
+_AGREE = r"(?<=\S)(?=\x20\S)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}\p{M}\p{Cn}])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[^\s\p{L}\p{N}\p{M}\p{Cn}])(?=\p{N})|(?<=[^\s\p{L}\p{N}\p{M}\p{Cn}'’])(?=\p{L})"
+_first, _last = regex.compile(_AGREE), regex.compile("(?r)" + _AGREE)
 
 
 class ByteBpe:
@@ -43,51 +50,47 @@ class ByteBpe:
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        # the vocabulary's byte characters are read from the library itself, by the alphabet of its pre-tokenizer
-        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        # from the library's own file: a Tokenizer made only to be asked would stay in the worker's memory
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         chars = _byte_characters()
-        ranks = {bytes(chars[c] for c in token): i for token, i in vocab.items()}
+        ranks = {bytes(chars[c] for c in token): i for token, i in model["vocab"].items() if i != ADDED_ID}
+        del model
         self.table: list[bytes] = [b""] * (max([*ranks.values(), ADDED_ID]) + 1)
         for token, i in ranks.items():
             self.table[i] = token
         self.table[ADDED_ID] = ADDED.encode()
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.chunks: dict[str, tuple] = {}
+        self.chunks: OrderedDict[bytes, tuple[bytes, int, int, int, int] | None] = OrderedDict()
         self.chunk_bytes = 0
-        self.reused = self.repairs = 0
+        self.met = self.reused = self.repairs = 0
 
     def plain(self, text: str) -> bytes:
         return np.array(self.core.encode_ordinary(text), dtype="<u4").tobytes()
 
-    def _ends(self, text: str) -> tuple:
-        """Of a chunk: ids, start and end windows as texts with the number of id bytes they cover; whole: no safe place inside."""
-        ids = self.plain(text)
-        head = _safe.search(text)
-        back = text.rfind(" ", 0, len(text) - 1)
-        while back > 0 and (text[back - 1].isspace() or text[back + 1].isspace()):
-            back = text.rfind(" ", 0, back)
-        a = text[: head.start()] if head else text
-        b = text[back:] if back > 0 else text
-        ea, eb = self.plain(a), self.plain(b)
-        # agreement: the windows' own ids must be those that the chunk has there
-        a_ok = ids.startswith(ea) and a is not text
-        b_ok = ids.endswith(eb) and b is not text
-        return ids, (a if a_ok else text), (len(ea) if a_ok else len(ids)), (b if b_ok else text), (len(eb) if b_ok else len(ids))
-
-    def chunk(self, text: str) -> tuple:
-        got = self.chunks.get(text)
-        if got is not None:
+    def _encoded(self, text: str) -> tuple[bytes, int, int, int, int] | None:
+        """Of a chunk: ids, the end of its head and the bytes of that part's ids, the same of all but its tail; None without places."""
+        head, tail = _first.search(text, 1), _last.search(text, 1, len(text) - 1)
+        if head is None or tail is None or head.start() >= len(text):
+            return None
+        ids, a, b = self.plain(text), head.start(), tail.start()
+        first, last = self.plain(text[:a]), self.plain(text[b:])
+        if not (ids.startswith(first) and ids.endswith(last)):
+            return None
+        return ids, a, len(first), b, len(ids) - len(last)
+
+    def chunk(self, text: str) -> tuple[bytes, int, int, int, int] | None:
+        key = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        self.met += 1
+        if key in self.chunks:
             self.reused += 1
-            return got
-        got = self._ends(text)
-        cost = 2 * len(text) + len(got[0]) + 400
-        if self.chunk_bytes + cost > CHUNK_CACHE_BYTES:
-            self.chunks.clear()
-            self.chunk_bytes = 0
-        self.chunks[text] = got
-        self.chunk_bytes += cost
+            self.chunks.move_to_end(key)
+            return self.chunks[key]
+        got = self.chunks[key] = self._encoded(text)
+        self.chunk_bytes += _cost(got)
+        while self.chunk_bytes > CHUNK_CACHE_BYTES:
+            self.chunk_bytes -= _cost(self.chunks.popitem(last=False)[1])
         return got
 
     def encode(self, text: str) -> bytes:
@@ -96,27 +99,23 @@ class ByteBpe:
             return np.uint32(ADDED_ID).astype("<u4").tobytes().join(self.encode(part) if part else b"" for part in text.split(ADDED))
         parts = cuts(text)
         if len(parts) == 1:
-            return self.chunk(text)[0] if text else b""
-        out = bytearray()
-        ids, _, _, tail, tail_ids = self.chunk(parts[0])
-        out += ids
-        for part in parts[1:]:
-            ids, head, head_ids, next_tail, next_ids = self.chunk(part)
-            joined = self.plain(tail + head)
-            whole_part = head_ids == len(ids)
-            self.repairs += 1
-            if joined == bytes(out[len(out) - tail_ids :]) + ids[:head_ids]:
-                out += ids
+            return self.plain(text) if text else b""
+        out, window = [], [""]
+        for part in parts:
+            got = self.chunk(part)
+            if got is None:
+                window.append(part)
+                continue
+            ids, head, head_ids, tail, tail_ids = got
+            if len(out) or window != [""]:
+                self.repairs += 1
+                out.append(self.plain("".join([*window, part[:head]])))
+                out.append(ids[head_ids:tail_ids])
             else:
-                del out[len(out) - tail_ids :]
-                out += joined
-                out += ids[head_ids:]
-            if whole_part:
-                # no safe place inside the part: the next window reaches back over it
-                tail, tail_ids = tail + part, len(joined)
-            else:
-                tail, tail_ids = next_tail, next_ids
-        return bytes(out)
+                out.append(ids[:tail_ids])
+            window = [part[tail:]]
+        out.append(self.plain("".join(window)))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are not UTF-8 become the replacement character."""
@@ -124,6 +123,10 @@ class ByteBpe:
         return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()]).decode("utf-8", "replace")
 
 
+def _cost(chunk: tuple | None) -> int:
+    return 300 + (len(chunk[0]) if chunk else 0)
+
+
 def _byte_characters() -> dict[str, int]:
     """The printable character that stands for each byte: the byte's own where printable, else the next from 256."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -189,4 +192,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), schema)

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,17 @@ SPACES = "\t\n\x0b\x0c\r "
 _written: list[tuple[SparkSession, str]] = []
 
 
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="arborframe-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where one machine is all there is."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="arborframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or _own_dir()).rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -82,6 +89,21 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def lean(run: Callable) -> Callable:
+    """run, an iterator over batches, giving what it has freed back to the system when it ends: workers live on."""
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return end
+
+
 def few(df: DataFrame, bound: int) -> DataFrame:
     """df with a broadcast hint if its rows, counted, are at most bound; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df

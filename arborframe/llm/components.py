@@ -4,36 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, lean, written
 
-
-#: Links that one task takes; more are worked off by stars.
-ONE_TASK = 2_000_000
+#: Links that one task takes, in arrays of some 100 bytes a link; more are worked off by stars.
+ONE_TASK = 1_000_000
 
 
 def _union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The components of all links that come, smallest node first."""
-    over: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while (y := over.setdefault(x, x)) != x:
-            over[x] = over[y]
-            x = y
-        return x
-
-    for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x, y = top(x), top(y)
-            if x != y:
-                over[max(x, y)] = min(x, y)
-    nodes = list(over)
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not parts:
+        return
+    a, b = (np.concatenate([p[side] for p in parts]) for side in (0, 1))
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    over = np.arange(len(nodes))
+    while len(a):
+        # the larger of two roots goes under the smallest root that it is linked with, then every node under its root
+        x, y = np.maximum(over[a], over[b]), np.minimum(over[a], over[b])
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(over, x, y)
+        while (up := over[over]).tobytes() != over.tobytes():
+            over = up
     for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(x) for x in part], pa.int64())], names=["node", "comp"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 50_000]), pa.array(nodes[over[i : i + 50_000]])], names=["node", "comp"])
 
 
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
@@ -42,7 +42,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     Up to ``one_task`` links, counted first, are joined in one task; more by distributed stars.
     """
     if links.limit(one_task + 1).count() <= one_task:
-        return links.select("a", "b").coalesce(1).mapInArrow(_union, "node long, comp long")
+        return links.select("a", "b").coalesce(1).mapInArrow(lean(_union), "node long, comp long")
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:

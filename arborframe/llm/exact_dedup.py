@@ -5,14 +5,18 @@ a cuckoo filter over the digests' fingerprints, so that most new digests are set
 keys; a hit is verified against the full digests kept in buckets. Digests can be deleted again, and a filter
 that overflows is rebuilt at twice the size from the stored keys.
 
-As a DataFrame operator the index works twice: first within each task over a bounded number of live digests
-(what exceeds the bound is passed on, and deleted from the index), which pre-aggregates copies before the
-shuffle, then over the partitions of the shuffled digests. A group of copies of any size so reaches the
-second step as one row per task. The rows come back by a join on the digest that Spark may split.
+As a DataFrame operator the index works twice: first within each task, which pre-aggregates copies before the
+shuffle, then over the shuffled digests in their order. Either index holds a bounded number of live digests: in
+the first, what exceeds the bound is passed on and deleted; in the second, digests that the order has passed are.
+A group of copies of any size so reaches the second step as one row per task. Ids and digests are written once;
+rows of groups over ``HOT`` rows, of which there are few, come back by a broadcast join, others by a shuffled one.
 
 Defined results: null counts as empty, and all empty and white-space-only-alike texts follow the same rule.
 Rows without an id are copies like others, but an id is preferred to null as the one that stays; rows that
-repeat an id are each a row of the group, and all rows with the id that stays are kept.
+repeat an id are each a row of the group, and all rows with the id that stays are kept, so that a row repeated
+with its id and text is kept as often as it stands there. Very long texts are normalised and digested whole, and
+only digests move. Other columns are not read, so that their names cannot clash. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,8 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Live digests of a task before the shuffle.
-LIVE = 100_000
+from .common import few, lean, written
+
+#: Live digests of a task's index; rows of a group that make it hot; hot groups that are broadcast at most.
+LIVE, HOT, HOT_GROUPS = 100_000, 10_000, 100_000
 
 
 class CuckooFilter:
@@ -135,13 +141,15 @@ def digest_of(text_col: str = "text") -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[ \\t\\n\\x0b\\f\\r]+", " "), 256)
 
 
-def _merge(batches: Iterator[pa.RecordBatch], live: int | None) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], live: int, ordered: bool) -> Iterator[pa.RecordBatch]:
+    """digest, keep_id, n by digest; ordered: the digests come in their order, so that those passed are complete."""
     index = DigestIndex()
 
     def rows(items: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([d for d, _ in items], pa.binary()), pa.array([v[0] for _, v in items], pa.int64()), pa.array([v[1] for _, v in items], pa.int64())], names=["digest", "keep_id", "n"])
 
     for b in batches:
+        digest = None
         for digest, keep, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
             value = index.get(digest)
             if value is None:
@@ -150,13 +158,17 @@ def _merge(batches: Iterator[pa.RecordBatch], live: int | None) -> Iterator[pa.R
                 value[1] += n
                 if keep is not None and (value[0] is None or keep < value[0]):
                     value[0] = keep
-        if live is not None and index.live > live:
-            # pass on and delete the digests met once; those met again stay for further copies
-            out = [(d, v) for d, v in index.items() if v[1] == 1]
-            out = out if len(out) > live // 4 else list(index.items())
+        if index.live > live:
+            if ordered:
+                out = [(d, v) for d, v in index.items() if d != digest]
+            else:
+                # the digests met once go; those met again stay for further copies
+                out = [(d, v) for d, v in index.items() if v[1] == 1]
+                out = out if len(out) > live // 4 else list(index.items())
             for d, _ in out:
                 index.delete(d)
-            yield rows(out)
+            for i in range(0, len(out), 20_000):
+                yield rows(out[i : i + 20_000])
     items = list(index.items())
     for i in range(0, len(items), 20_000):
         yield rows(items[i : i + 20_000])
@@ -165,13 +177,16 @@ def _merge(batches: Iterator[pa.RecordBatch], live: int | None) -> Iterator[pa.R
 def groups(rows: DataFrame, live: int = LIVE) -> DataFrame:
     """digest, keep_id, n of each group of equal texts, from rows of (digest binary, keep_id long, n long)."""
     schema = "digest binary, keep_id long, n long"
-    partial = rows.mapInArrow(lambda it: _merge(it, live), schema)
-    return partial.repartition("digest").mapInArrow(lambda it: _merge(it, None), schema)
+    partial = rows.mapInArrow(lean(lambda it: _merge(it, live, False)), schema)
+    return partial.repartition("digest").sortWithinPartitions("digest").mapInArrow(lean(lambda it: _merge(it, live, True)), schema)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", live: int = LIVE) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", live: int = LIVE, hot: int = HOT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), digest_of(text_col).alias("text_sha256"))
-    found = groups(rows.select(F.unhex("text_sha256").alias("digest"), F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("n")), live)
-    found = found.select(F.lower(F.hex("digest")).alias("text_sha256"), "keep_id", F.col("n").alias("group_size"))
-    return rows.join(found, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.unhex(digest_of(text_col)).alias("digest")), "digests")
+    found = groups(rows.select("digest", F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("n")), live)
+    found = written(found.select("digest", "keep_id", F.col("n").alias("group_size")), "groups")
+    large = few(found.where(F.col("group_size") > hot), HOT_GROUPS)
+    small = rows.join(large.select("digest"), "digest", "left_anti").join(found.where(F.col("group_size") <= hot), "digest")
+    out = rows.join(large, "digest").unionByName(small)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -17,7 +17,8 @@ list, group or family is capped.
 Node ids are 64-bit digests: of n distinct texts about n * n / 2^65 pairs would wrongly be taken as equal.
 
 Defined results: null texts count as empty; documents without words link with nothing. Rows that repeat an id
-are documents of their own; a null id is never the smallest. An empty table gives an empty result.
+are documents of their own; a null id is never the smallest. Very long texts are shingled whole, in a task's memory
+one at a time. Other columns are not read, so that their names cannot clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, few, shared_dir, strings, written
+from .common import discard, few, lean, shared_dir, strings, written
 from .components import components
 from .shingles import shingle_set, word_hashes
 
 K, SHORT, BLOCK, CHANCE = 32, 64, 256, 1e-6
+#: Shingles that the nodes of a block's side have together, on average, at most (a larger set is a block's alone).
+BLOCK_SHINGLES = 100_000
 #: Rows that are broadcast at most: of ids, and of sketches.
 FEW_IDS, FEW_SKETCHES = 500_000, 100_000
 
@@ -73,7 +76,7 @@ def sketches(docs: DataFrame, size: int, k: int = K, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), *b.columns[2:]], names=["doc_id", "n_shingles", "node", "sketch", *b.schema.names[2:]])
 
     more = [text_digest(text_col).alias("text_sha256")] if digest else []
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(run, "doc_id long, n_shingles long, node long, sketch array<long>" + ", text_sha256 string" * digest)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more).mapInArrow(lean(run), "doc_id long, n_shingles long, node long, sketch array<long>" + ", text_sha256 string" * digest)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, least: int, num: int, den: int) -> DataFrame:
@@ -102,7 +105,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, k: int, least: int, num: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     joined = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -115,7 +118,7 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, size: int, id_col: str, text_
 
     ids = few(wanted.select(F.col("first_id").alias("want")).distinct(), FEW_IDS)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = texts.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(sets, "node long, full binary")
+    found = texts.join(ids, F.col("id").eqNullSafe(F.col("want")), "left_semi").select("text").mapInArrow(lean(sets), "node long, full binary")
     # rows that share an id with a wanted one, and copies of it, may have come along
     return found.join(few(wanted.select("node"), FEW_IDS), "node", "left_semi").groupBy("node").agg(F.max("full").alias("full"))
 
@@ -126,8 +129,8 @@ def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFram
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common, union = [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 common.append(both)
                 union.append(len(x) + len(y) - both)
@@ -135,7 +138,7 @@ def _verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFram
             yield out.filter(pa.array([den * c >= num * u for c, u in zip(common, union)], pa.bool_()))
 
     joined = pairs.join(full.select(F.col("node").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("full").alias("fb")), "b")
-    return joined.select("a", "b", "fa", "fb").mapInArrow(judge, "a long, b long, common long, total long")
+    return joined.select("a", "b", "fa", "fb").mapInArrow(lean(judge), "a long, b long, common long, total long")
 
 
 def _short_pairs(lists: DataFrame, num: int, den: int) -> DataFrame:
@@ -150,7 +153,7 @@ def _block_links(k: int, least: int, num: int, den: int):
 
     def run(rows: pa.Table) -> pa.Table:
         nodes, side = rows.column("node").to_pylist(), rows.column("side").to_pylist()
-        sets = [np.frombuffer(x, "<u8") for x in rows.column("full").to_pylist()]
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in rows.column("full")]
         at_b = [i for i, x in enumerate(side) if x & 2]
         parent = list(range(len(nodes)))
 
@@ -196,9 +199,11 @@ def _block_links(k: int, least: int, num: int, den: int):
 def _family_links(families: DataFrame, comps: DataFrame | None, full: DataFrame, k: int, least: int, num: int, den: int, block: int) -> DataFrame:
     """a, b of links inside families (node, family) beyond those of comps."""
     of = families.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")) if comps is not None else families.withColumn("comp", F.col("node"))
-    sizes = of.groupBy("family", "comp").agg(F.count("*").alias("n")).groupBy("family").agg(F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"))
-    sizes = sizes.select("family", "size", F.col("top.comp").alias("lead"), (F.col("size") - F.col("top.n")).alias("out")).where("out > 0")
-    placed = of.join(few(sizes, FEW_IDS), "family").select("node", "family", (F.col("comp") != F.col("lead")).alias("outside"), F.ceil(F.col("out") / block).cast("int").alias("na"), F.ceil(F.col("size") / block).cast("int").alias("nb"))
+    of = of.join(full.select("node", (F.length("full") / 8).cast("long").alias("m")), "node")
+    sizes = of.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum("m").alias("m")).groupBy("family").agg(F.sum("n").alias("size"), F.sum("m").alias("all"), F.max(F.struct("n", "comp", "m")).alias("top"))
+    sizes = sizes.select("family", "size", "all", F.col("top.comp").alias("lead"), (F.col("size") - F.col("top.n")).alias("out"), (F.col("all") - F.col("top.m")).alias("rest")).where("out > 0")
+    blocks = lambda n, m: F.ceil(F.greatest(F.col(n) / block, F.col(m) / BLOCK_SHINGLES)).cast("int")
+    placed = of.join(few(sizes, FEW_IDS), "family").select("node", "family", (F.col("comp") != F.col("lead")).alias("outside"), blocks("out", "rest").alias("na"), blocks("size", "all").alias("nb"))
     h = F.xxhash64("node")
     ai, bi = F.pmod(h, F.col("na")).cast("int"), F.pmod(h, F.col("nb")).cast("int")
     # a node goes to all blocks of its row as one of those outside, and to all of its column as any node
@@ -242,8 +247,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     links = written(_verified(stars.where("near"), full, num, den).select("a", "b"), "links")
     comps = written(components(links), "comps")
     families = written(components(passed.union(stars.select("a", "b"))).toDF("node", "family"), "families")
-    links = written(links.union(_family_links(families, few(comps, FEW_IDS), full, k, least, num, den, block)), "links")
-    comps = written(components(links), "comps")
+    merged = written(links.union(_family_links(families, few(comps, FEW_IDS), full, k, least, num, den, block)), "links")
+    comps = written(components(merged), "comps")
+    for table in (about, ranked, full, lists, passed, stars, links, families, merged):
+        discard(table)
     ends = comps.join(nodes.select("node", "first_id"), "node")
     least_id = ends.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     label = comps.join(least_id, "comp").select("node", "component_id")

@@ -3,19 +3,24 @@
 Base findings are e-mail and IP addresses, card and phone numbers by pattern, with their checks. The network
 learns from labelled spans in generated sentences, which hold the patterns' forms and others that no pattern has
 (national phone numbers, addresses with "(at)"), beside dates, versions, prices and codes that are none. It reads
-overlapping windows around every digit and at-sign: no personal data of these kinds is without one. Each window
-is decoded by Viterbi; where windows overlap, a character takes its tag from the window in which it lies deepest,
-and spans are then read off the whole text. A span of the network is added where no pattern has matched. Where one has
-matched but its check failed, none is added either, except that a run of 12 or more digits that is no card bars cards
-only: national phone numbers look like the runs of a card, or are parts of longer ones.
+overlapping windows around every digit and at-sign: a span of its kinds without one is not accepted, so that
+windows without one could add nothing. Each window is decoded by Viterbi; where windows overlap, a character takes
+its tag from the window in which it lies deepest, and spans are then read off the whole text. A span of the network
+is added where no pattern has matched. Where one has matched but its check failed, none is added either, except that
+a run of 12 or more digits that is no card bars cards only: national phone numbers look like the runs of a card, or
+are parts of longer ones.
 
 Defined results: null texts count as empty; a text without findings has zero counts and empty spans. Whole texts
-are read, whatever their length, and the memory is that of a batch of windows. Rows that repeat are read each.
+are read, whatever their length; the memory is that of one batch of windows and of some bytes a character of the
+texts that it touches. Rows that repeat are read each, alike. detect() reads no other columns; mask() hands them on,
+whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -26,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import strings
+from .common import lean, strings
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, SURE = 64, 32, 0.9
@@ -111,11 +116,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 class Tagger:
     """Embedding, two LSTMs, a linear layer, and CRF transitions. Windows are rows of classes, 0 where they end."""
 
@@ -153,27 +153,29 @@ class Tagger:
         out = h @ self.p["out"] + self.p["bias"]
         return (out, (e, h, sf, sb)) if keep else out
 
-    def _both_ways(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward and backward sums of the CRF, and their total."""
-        trans, t = self.p["trans"], em.shape[1]
-        alpha, beta = np.empty_like(em), np.zeros_like(em)
-        alpha[:, 0] = em[:, 0]
-        for k in range(1, t):
-            alpha[:, k] = _lse(alpha[:, k - 1][:, :, None] + trans, 1) + em[:, k]
+    def _both_ways(self, em: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the CRF, scaled place by place: forward and backward sums, emissions as factors, the scales, the log of the total."""
+        trans, (b, t, _) = np.exp(self.p["trans"]), em.shape
+        top = em.max(axis=2, keepdims=True)
+        factor = np.exp(em - top)
+        alpha, beta, scale = np.empty_like(em), np.ones_like(em), np.empty((b, t), em.dtype)
+        for k in range(t):
+            a = (alpha[:, k - 1] @ trans if k else 1) * factor[:, k]
+            scale[:, k] = a.sum(1)
+            alpha[:, k] = a / scale[:, k, None]
         for k in range(t - 2, -1, -1):
-            beta[:, k] = _lse(trans + (em[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-        return alpha, beta, _lse(alpha[:, -1], 1)
+            beta[:, k] = (factor[:, k + 1] * beta[:, k + 1]) @ trans.T / scale[:, k + 1, None]
+        return alpha, beta, factor, scale, np.log(scale).sum(1) + top[:, :, 0].sum(1)
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
         """Loss and gradients of a batch of full windows."""
         p = self.p
         em, (e, h, sf, sb) = self.emissions(x, True)
         b, t, n = em.shape
-        alpha, beta, z = self._both_ways(em)
-        unary = np.exp(alpha + beta - z[:, None, None])
-        d_trans = np.zeros((n, n))
-        for k in range(1, t):
-            d_trans += np.exp(alpha[:, k - 1][:, :, None] + p["trans"] + (em[:, k] + beta[:, k])[:, None, :] - z[:, None, None]).sum(0)
+        alpha, beta, factor, scale, z = self._both_ways(em)
+        unary = alpha * beta
+        into = factor[:, 1:] * beta[:, 1:] / scale[:, 1:, None]
+        d_trans = np.exp(p["trans"]) * (alpha[:, :-1].reshape(-1, n).T @ into.reshape(-1, n))
         np.subtract.at(d_trans, (y[:, :-1], y[:, 1:]), 1)
         at = (np.arange(b)[:, None], np.arange(t)[None, :], y)
         loss = (z - em[at].sum(1) - p["trans"][y[:, :-1], y[:, 1:]].sum(1)).mean()
@@ -232,8 +234,13 @@ class Tagger:
         tags[:, -1] = best.argmax(1)
         for k in range(t - 1, 0, -1):
             tags[:, k - 1] = back[np.arange(b), k, tags[:, k]]
-        alpha, beta, z = self._both_ways(em)
-        return tags, np.exp(np.take_along_axis(alpha + beta, tags[:, :, None].astype(int), 2)[:, :, 0] - z[:, None])
+        # how sure a tag is matters where something was found
+        share = np.ones((b, t))
+        some = tags.any(axis=1)
+        if some.any():
+            alpha, beta, *_ = self._both_ways(em[some])
+            share[some] = np.take_along_axis(alpha * beta, tags[some][:, :, None].astype(int), 2)[:, :, 0]
+        return tags, share
 
 
 def _word(r: random.Random) -> str:
@@ -308,57 +315,69 @@ def windows(text: str) -> list[int]:
 def added(texts: list[str], tried: list[list[tuple[int, int, frozenset[int]]]], model: Tagger, chunk: int = 512) -> list[list[tuple[int, int, int]]]:
     """The network's spans of each text that no match bars, as (start, kind, end)."""
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    queue: list[tuple[int, int]] = []
-    codes = {}
-    for i, text in enumerate(texts):
-        starts = windows(text)
-        if starts:
-            codes[i] = classes(text)
-            queue += [(i, s) for s in starts]
-    state: dict[int, dict[int, tuple[int, int, float]]] = {}
+    starts = [windows(t) for t in texts]
+    queue = [(i, s) for i, own in enumerate(starts) for s in own]
+    state: dict[int, _Held] = {}
     for a in range(0, len(queue), chunk):
         part = queue[a : a + chunk]
         x = np.zeros((len(part), WINDOW), int)
         for k, (i, s) in enumerate(part):
-            piece = codes[i][s : s + WINDOW]
+            if i not in state:
+                state[i] = _Held(texts[i])
+            piece = state[i].codes[s : s + WINDOW]
             x[k, : len(piece)] = piece
         tags, share = model.decode(x)
         for k, (i, s) in enumerate(part):
-            held = state.setdefault(i, {})
-            n = min(WINDOW, len(texts[i]) - s)
-            # outside tags count too: a deeper window may take back what a shallower one has found
-            for c in range(n):
-                deep = min(c if s else WINDOW, n - 1 - c if s + n < len(texts[i]) else WINDOW)
-                if (tags[k, c] or s + c in held) and deep > held.get(s + c, (-1, 0, 0.0))[0]:
-                    held[s + c] = (deep, int(tags[k, c]), float(share[k, c]))
-                elif s + c not in held and deep >= STRIDE // 2:
-                    held[s + c] = (deep, 0, 1.0)
-        if a + chunk < len(queue):
-            done = [i for i in state if i < queue[a + chunk][0]]
-        else:
-            done = list(state)
-        for i in done:
-            out[i] = _spans(state.pop(i), texts[i], tried[i])
-            codes.pop(i, None)
+            state[i].take(s, tags[k], share[k])
+        last = queue[a + chunk][0] if a + chunk < len(queue) else len(texts)
+        for i in [i for i in state if i < last]:
+            out[i] = state.pop(i).spans(texts[i], tried[i])
     return out
 
 
-def _spans(held: dict[int, tuple[int, int, float]], text: str, tried: list[tuple[int, int, frozenset[int]]]) -> list[tuple[int, int, int]]:
-    spans, run = [], []
-    for at in [*sorted(held), -1]:
-        tag = held[at][1] if at >= 0 else 0
-        if run and (at != run[-1] + 1 or tag == 0 or (tag - 1) // 2 != (held[run[0]][1] - 1) // 2 or tag % 2):
-            kind = (held[run[0]][1] - 1) // 2
-            piece = text[run[0] : run[-1] + 1]
+class _Held:
+    """What the windows have said so far of each character of a text."""
+
+    def __init__(self, text: str):
+        self.codes = classes(text).astype(np.int8)
+        self.tags, self.depth, self.share = np.zeros(len(text), np.int8), np.full(len(text), -1, np.int8), np.ones(len(text), np.float32)
+
+    def take(self, start: int, tags: np.ndarray, share: np.ndarray) -> None:
+        """A window's word counts where it is deeper than those before it; the ends of a text are no edges."""
+        end = min(start + WINDOW, len(self.tags))
+        at, edge = np.arange(end - start), np.full(end - start, WINDOW)
+        depth = np.minimum(at if start else edge, at[::-1] if end < len(self.tags) else edge).astype(np.int8)
+        deeper = depth > self.depth[start:end]
+        for have, new in ((self.tags, tags), (self.share, share), (self.depth, depth)):
+            have[start:end][deeper] = new[: end - start][deeper]
+
+    def spans(self, text: str, tried: list[tuple[int, int, frozenset[int]]]) -> list[tuple[int, int, int]]:
+        at = np.flatnonzero(self.tags)
+        if not len(at):
+            return []
+        tag = self.tags[at].astype(int)
+        kind = (tag - 1) // 2
+        fresh = np.r_[True, (at[1:] != at[:-1] + 1) | (kind[1:] != kind[:-1]) | (tag[1:] % 2 == 1)]
+        first = np.flatnonzero(fresh)
+        stop = np.r_[first[1:], len(at)]
+        sure = np.add.reduceat(self.share[at], first) / (stop - first)
+        spans = []
+        barred = sorted(tried, key=lambda x: x[0])
+        reach = list(itertools.accumulate((e for _, e, _ in barred), max))
+        for i in np.flatnonzero((tag[first] % 2 == 1) & (sure >= SURE)).tolist():
+            s, e, k = int(at[first[i]]), int(at[stop[i] - 1]) + 1, int(kind[first[i]])
+            piece = text[s:e]
             digits = len(_digit.sub("", piece))
-            whole = {0: "@" in piece or "at" in piece, 1: piece.count(".") >= 3, 2: digits >= 12, 3: 9 <= digits <= 15}[kind]
-            sure = sum(held[c][2] for c in run) / len(run)
-            if held[run[0]][1] % 2 and whole and sure >= SURE and not any(kind in bars and s <= run[-1] and run[0] < e for s, e, bars in tried):
-                spans.append((run[0], kind, run[-1] + 1))
-            run = []
-        if tag and (run or tag % 2):
-            run.append(at)
-    return spans
+            whole = {0: _anchor.search(piece) is not None and ("@" in piece or "at" in piece), 1: piece.count(".") >= 3 and digits > 0, 2: digits >= 12, 3: 9 <= digits <= 15}[k]
+            # of the matches that start before the span's end, those back to the last that can reach it
+            j = bisect.bisect_left(barred, e, key=lambda x: x[0]) - 1
+            while whole and j >= 0 and reach[j] > s:
+                if k in barred[j][2] and s < barred[j][1]:
+                    whole = False
+                j -= 1
+            if whole:
+                spans.append((s, k, e))
+        return spans
 
 
 # ---- DataFrame operators --------------------------------------------------------------------------------
@@ -387,7 +406,7 @@ def detect(docs: DataFrame, model: Tagger, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([as_rows(x) for x, _ in found], kind), pa.array([as_rows(sorted(x + y)) for x, y in found], kind)], names=["doc_id", "base", "spans"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {id_type}, base array<struct<s:int,k:int,e:int>>, spans array<struct<s:int,k:int,e:int>>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(lean(run), f"doc_id {id_type}, base array<struct<s:int,k:int,e:int>>, spans array<struct<s:int,k:int,e:int>>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -425,7 +444,7 @@ def mask(docs: DataFrame, model: Tagger, text_col: str = "text", size_col: str =
             out = [None if r is None else masked(t, x + y) for r, t, (x, y) in zip(raw, texts, _found(texts, sent.value))]
             yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
 
-    out = docs.mapInArrow(run, StructType(docs.schema.fields))
+    out = docs.mapInArrow(lean(run), StructType(docs.schema.fields))
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.when(F.col(text_col).isNotNull(), F.length(text_col)).otherwise(F.col(size_col)).cast(docs.schema[size_col].dataType))
     return out

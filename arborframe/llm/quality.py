@@ -6,19 +6,21 @@ the difference of the two sizes, normalised by the text's own size, is calibrate
 regression on labelled rows that the dictionaries have not seen.
 
 The fit uses at most ``FIT_ROWS`` labelled rows per dictionary and as many for calibration, the first ones by a
-hash of the id, each of at most ``FIT_CHARS`` characters: a documented bound of the sample. Rows whose
-crc32(id as text) mod 5 is 0 are held out of it. Scores are of whole texts, whatever their length, and use
-nothing but the text.
+hash of the id; of these, rows of more than ``FIT_CHARS`` characters, or without a text among docs, are left out:
+a documented bound of the sample. Rows whose crc32(id as text) mod 5 is 0 are held out of it. Scores are of whole
+texts, whatever their length, block by block, and use nothing but the text.
 
 Defined results: null texts count as empty; an empty text has the difference 0 and the score of that. Without
 labels of both kinds every score is 1 (nothing is known against a text). A row with several labels counts once
-for each. A null id is never held out, and never labelled.
+for each. A null id is never held out, and never labelled. Rows that repeat are scored each, alike; an empty table
+gives an empty result. score() returns its own columns only; accepted() hands on all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import strings
+from .common import lean, strings
 
 FIT_ROWS, FIT_CHARS, DICTIONARY_BYTES, BLOCK, LEVEL, ACCEPT = 2500, 20_000, 112_640, 2048, 3, 0.3
 #: Bytes that count beside a text's own, so that the difference of a very short text stays small.
@@ -75,21 +77,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str =
     chosen = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1))
     chosen = chosen.withColumn("fold", F.crc32(F.col("id").cast("string")) % 5).where("fold <> 0")
 
-    def some(where) -> list:
-        # the sample is chosen among the labels: at most ``rows`` ids, which are broadcast
-        ids = chosen.where(where).orderBy(F.xxhash64("id", F.lit(11)), "id", "quality").limit(rows)
-        texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).where(F.length("t") <= FIT_CHARS)
-        return texts.join(F.broadcast(ids), "id").orderBy("id", "quality").select("t", "quality").collect()
+    # the sample is chosen among the labels, by part: at most ``rows`` ids each, which are broadcast; texts are read once
+    part = {name: chosen.where(cond).orderBy(F.xxhash64("id", F.lit(11)), "id", "quality").limit(rows).withColumn("part", F.lit(name)) for name, cond in (("good", "fold <> 4 AND quality = 1"), ("bad", "fold <> 4 AND quality = 0"), ("seen", "fold = 4"), ("any", "true"))}
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).where(F.length("t") <= FIT_CHARS)
 
-    good, bad = ([r.t.encode("utf-8", "surrogatepass") for r in some((F.col("fold") != 4) & (F.col("quality") == q))] for q in (1, 0))
+    def some(*names: str) -> dict[str, list]:
+        ids = reduce(DataFrame.union, [part[n] for n in names])
+        found = texts.join(F.broadcast(ids), "id").orderBy("part", "id", "quality").select("part", "t", "quality").collect()
+        return {n: [r for r in found if r.part == n] for n in names}
+
+    sample = some("good", "bad", "seen")
+    good, bad = ([r.t.encode("utf-8", "surrogatepass") for r in sample[n]] for n in ("good", "bad"))
     if not good or not bad:
         return None
     # both are trained on like amounts of text
     amount = min(sum(map(len, good)), sum(map(len, bad)))
     model = QualityModel(_dictionary(good, amount), _dictionary(bad, amount))
-    seen = some(F.col("fold") == 4)
-    if {r.quality for r in seen} != {0, 1}:
-        seen = some(F.lit(True))
+    seen = sample["seen"] if {r.quality for r in sample["seen"]} == {0, 1} else some("any")["any"]
     a, b = model.compressors()
     x, y = np.array([difference(r.t, a, b) for r in seen]), np.array([r.quality for r in seen], float)
     model.x, model.y = isotonic(x, y)
@@ -125,22 +129,31 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]) / n, (np.array([p[1] for p in pools]) + 0.5) / (n + 1)
 
 
-def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT, keep: bool = False) -> DataFrame:
-    """held_out, score and predicted beside the id, or beside all columns of docs."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+def _scored(docs: DataFrame, model: QualityModel | None, text_col: str, name: str) -> DataFrame:
+    """docs with a column of that name after the others."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         pair = m.compressors() if m else None
         for b in batches:
-            at = b.schema.get_field_index(text_col)
             texts = strings(b.column(at))
             p = m.probability(np.array([difference(t, *pair) for t in texts])) if m else np.ones(len(texts))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], schema=b.schema.append(pa.field("__score", pa.float64())))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], schema=b.schema.append(pa.field(name, pa.float64())))
+
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+
 
-    src = docs if keep else docs.select(id_col, text_col)
-    out = src.mapInArrow(run, StructType([*src.schema.fields, StructField("__score", DoubleType())]))
-    if keep:
-        return out.withColumn("__predicted", (F.col("__score") >= accept).cast("int"))
+def score(docs: DataFrame, model: QualityModel | None, id_col: str = "doc_id", text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """held_out, score and predicted beside the id."""
+    out = _scored(docs.select(id_col, text_col), model, text_col, "__score")
     return out.select(id_col, held_out(id_col).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= accept).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: QualityModel | None, text_col: str = "text", accept: float = ACCEPT) -> DataFrame:
+    """The rows of docs that the model does not reject, with their columns."""
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return _scored(docs, model, text_col, name).where(F.col(name) >= accept).select(*docs.columns)
