@@ -6,11 +6,15 @@ parts that complete it co-occur in its scope, by an interval join of their place
 ``scope`` characters before and after it. A mixed token needs an identifier there, a named identifier needs a
 secret, an endpoint needs both.
 
-The join is within the row: the parts of a document are arrays of intervals, so nothing is shuffled and a
-document of any size is one row. Places come from the lengths of what a pattern matches and what it leaves.
+The join is of places: a part lies in a scope if it ends in the stretch before the candidate or starts in the one
+after it. Stretches and places meet by document and place div (scope + 1), an equality, so that a stretch spans two
+cells at most and a cell holds a bounded number of parts, however long its document. Rows without candidates
+do not take part. Rows are told apart by id and by what was found in them: those alike in both have like links.
+Places come from the lengths of what a pattern matches and what it leaves.
 
 Defined results: null texts count as empty; a text without findings has zero counts and empty spans. Rows that
-repeat are scanned each. Other columns are not read.
+repeat are scanned each, alike; ids may be null. Other columns are not read, so that their names cannot clash. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+from .places import running
+
 SCOPE = 256
 
 
@@ -63,15 +70,9 @@ def _places(kind: str) -> Column:
     """Intervals (s, k, e) of a kind's matches; k is the kind's place in KINDS."""
     number = KINDS.index(kind)
     empty = F.array().cast("array<struct<s:int,k:int,e:int>>")
-    gaps, found = F.col(f"{kind}_gaps"), F.col(f"{kind}_all")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        s = acc["at"] + F.length(F.get(gaps, i))
-        e = s + F.length(F.get(found, i))
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), F.lit(number).alias("k"), e.alias("e")))).alias("out"))
-
-    rows = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+    found = F.col(f"{kind}_all")
+    at = running(F.transform(f"{kind}_gaps", F.length), F.transform(found, F.length))
+    rows = F.transform(at, lambda x: F.struct(x["s"].alias("s"), F.lit(number).alias("k"), x["e"].alias("e")))
     if kind in ("assign", "named"):
         value = F.col(f"{kind}_value")
         rows = F.filter(F.transform(rows, lambda r, i: F.when(F.length(F.get(value, i)) >= 6, r)), lambda r: r.isNotNull())
@@ -81,8 +82,17 @@ def _places(kind: str) -> Column:
     return F.when(found.isNotNull(), rows).otherwise(empty).alias(kind)
 
 
-def _near(part: Column, others: Column, scope: int) -> Column:
-    return F.exists(others, lambda o: (o["s"] <= part["e"] + scope) & (o["e"] >= part["s"] - scope) & ~((o["s"] < part["e"]) & (part["s"] < o["e"])))
+def _near(parts: DataFrame, others: DataFrame, scope: int) -> DataFrame:
+    """The parts (row, p) that have one of the others within their scope and beside them."""
+    width = scope + 1
+    cell = lambda c: F.floor(c / width)
+    places = others.select("row", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("p.e").alias("at")), F.struct(F.lit(1).alias("side"), F.col("p.s").alias("at")))).alias("x")).select("row", "x.*", cell(F.col("x.at")).alias("cell"))
+    before = F.struct(F.lit(0).alias("side"), (F.col("p.s") - scope).alias("low"), F.col("p.s").alias("high"))
+    after = F.struct(F.lit(1).alias("side"), F.col("p.e").alias("low"), (F.col("p.e") + scope).alias("high"))
+    scopes = parts.select("row", "p", F.explode(F.array(before, after)).alias("x")).select("row", "p", "x.*")
+    scopes = scopes.select("*", F.explode(F.array_distinct(F.array(cell(F.col("low")), cell(F.col("high"))))).alias("cell"))
+    met = scopes.alias("a").join(places.alias("b"), (F.col("a.row") == F.col("b.row")) & (F.col("a.side") == F.col("b.side")) & (F.col("a.cell") == F.col("b.cell")) & F.col("b.at").between(F.col("a.low"), F.col("a.high")), "left_semi")
+    return met.select("row", "p").distinct()
 
 
 def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,15 +100,22 @@ def scan(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col:
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.select("doc_id", *(c for kind in KINDS for c in _found(kind)))
     d = d.select("doc_id", *(_places(kind) for kind in KINDS))
-    secrets, identifiers = F.concat("assign", "hex"), F.concat("access", "named")
     base = F.array_sort(F.concat("assign", "access", "hex"))
-    mixed = F.filter("mixed", lambda m: _near(m, identifiers, scope))
-    d = d.select("doc_id", "assign", "access", "hex", "named", "endpoint", base.alias("base"), mixed.alias("mixed"))
-    some_secret = F.concat(secrets, F.col("mixed"))
-    named = F.filter("named", lambda m: _near(m, some_secret, scope))
-    endpoint = F.filter("endpoint", lambda m: _near(m, some_secret, scope) & _near(m, identifiers, scope))
-    spans = F.array_sort(F.concat("base", "mixed", named, endpoint))
-    return d.select("doc_id", "assign", "access", "hex", "base", spans.alias("spans"))
+    weak = F.concat("mixed", "named", "endpoint")
+    d = written(d.select("doc_id", "assign", "access", "hex", base.alias("base"), weak.alias("weak")), "found")
+    row = F.struct(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), F.sha2(F.to_json(F.struct("base", "weak")), 256).alias("found"))
+    # one part alone completes nothing
+    open_ = d.where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)).withColumn("row", row)
+    parts = open_.select("row", F.explode(F.concat("base", "weak")).alias("p")).distinct()
+    of = lambda *kinds: parts.where(F.col("p.k").isin([KINDS.index(k) for k in kinds]))
+    identifiers = of("access", "named")
+    mixed = written(_near(of("mixed"), identifiers, scope), "mixed")
+    secrets = of("assign", "hex").union(mixed)
+    named = _near(of("named"), secrets, scope)
+    endpoint = _near(_near(of("endpoint"), identifiers, scope), secrets, scope)
+    linked = mixed.union(named).union(endpoint).groupBy("row").agg(F.collect_list("p").alias("linked"))
+    more = open_.join(linked, "row", "left").select("doc_id", "assign", "access", "hex", "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("spans"))
+    return d.where((F.size("weak") == 0) | (F.size("weak") + F.size("base") <= 1)).select("doc_id", "assign", "access", "hex", "base", F.col("base").alias("spans")).union(more)
 
 
 def joined(spans: str) -> Column:
