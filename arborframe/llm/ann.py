@@ -6,14 +6,15 @@ its own code. These give an estimate of its inner product with a query and a bou
 but for a probability set by ``EPSILON`` (standard deviations). Only vectors whose upper bound reaches the
 query's 20th best score so far are scored exactly, in double precision, on the original vectors.
 
-The queries are taken in slabs of bounded bytes. A slab is broadcast and all candidates pass it in blocks, so
-neither side is ever held whole and nothing grows with the table but the number of slabs. The slab's queries
-are rows too: scored against each other they give each query a first threshold.
+Codes are packed and written once, beside the vectors that rerank them. The queries are taken in slabs of bounded
+bytes, one job each. A slab is broadcast and all codes pass it in blocks, so neither side is ever held whole and
+nothing grows with the table but the number of slabs. The slab's queries are rows too: scored against each other
+they give each query a first threshold. Of a slab, each task hands on at most k rows a query.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do
 rows without an id; only vectors of the query's dimension are its candidates. Rows that share the query's
 id are its own. A query id that repeats is answered once, for the smallest of its vectors. Ties go to the
-smaller id. Other columns are not read.
+smaller id. Rows that repeat count once. Other columns are not read, so that their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-EPSILON = 2.75
+from .common import lean, written
+
+EPSILON = 3.5
 SLAB_BYTES = 8 << 20
 BLOCK = 2048
 PAIRS = 1 << 16
@@ -58,8 +61,8 @@ def estimate(codes: np.ndarray, norms: np.ndarray, align: np.ndarray, turned_que
 
 
 def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Row-wise inner products in double precision; equal vectors give equal scores."""
-    return (queries * vectors).sum(axis=1)
+    """Row-wise inner products in double precision, added up in the order of components; equal vectors give equal scores."""
+    return (queries * vectors).cumsum(axis=1)[:, -1]
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -69,6 +72,47 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(False)) & some)
 
 
+def _coded(rows: DataFrame) -> DataFrame:
+    """vec_id, v, code (packed bits), norm and align of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns: dict[int, np.ndarray] = {}
+        for b in batches:
+            code, norm, align = [b""] * len(b), np.empty(len(b)), np.empty(len(b))
+            for at, v in _by_size(b.column(1)):
+                d = v.shape[1]
+                turns.setdefault(d, rotation(d))
+                bits, norm[at], align[at] = encode(v, turns[d])
+                for i, x in zip(at.tolist(), bits):
+                    code[i] = x.tobytes()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code, pa.binary()), pa.array(norm), pa.array(align)], names=["vec_id", "v", "code", "norm", "align"])
+
+    return rows.mapInArrow(lean(run), "vec_id long, v array<double>, code binary, norm double, align double")
+
+
+def _by_size(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and values of the lists of each length."""
+    bounds = lists.offsets.to_numpy()
+    flat, sizes, starts = lists.flatten().to_numpy(zero_copy_only=False), np.diff(bounds), bounds[:-1] - bounds[0]
+    for d in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == d)
+        yield at, flat[starts[at][:, None] + np.arange(d)]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """ids, vectors, codes, norms and scalars of rows of one dimension, BLOCK at most."""
+    waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    for b in batches:
+        for at, v in _by_size(b.column(1)):
+            codes = np.frombuffer(b"".join(b.column(2).take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
+            have = waiting.setdefault(v.shape[1], [])
+            have.append((b.column(0).to_numpy()[at], v, codes, b.column(3).to_numpy()[at], b.column(4).to_numpy()[at]))
+            if sum(len(x[0]) for x in have) >= BLOCK:
+                yield tuple(np.concatenate(x) for x in zip(*waiting.pop(v.shape[1])))
+    for have in waiting.values():
+        yield tuple(np.concatenate(x) for x in zip(*have))
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", epsilon: float = EPSILON, slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each query, among all rows of vectors but its own."""
     spark = vectors.sparkSession
@@ -78,6 +122,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     schema = "query_id long, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    coded = written(_coded(rows), "codes")
     slabs = max(1, -(-n * dim * 8 // slab_bytes))
     out = None
     for slab in range(slabs):
@@ -86,20 +131,17 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             seekers = {d: _Seeker(ids, q, k, epsilon) for d, ids, q in sent.value}
-            for b in batches:
-                ids, lists = b.column(0).to_numpy(), b.column(1)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                sizes = np.diff(lists.offsets.to_numpy())
-                starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-                for d, seeker in seekers.items():
-                    at = np.flatnonzero(sizes == d)
-                    for i in range(0, len(at), BLOCK):
-                        some = at[i : i + BLOCK]
-                        seeker.add(ids[some], flat[starts[some][:, None] + np.arange(d)])
+            for ids, vectors, codes, norms, align in _blocks(batches):
+                seeker = seekers.get(vectors.shape[1])
+                if seeker is not None:
+                    seeker.add(ids, vectors, codes, norms, align)
             for seeker in seekers.values():
                 yield pa.RecordBatch.from_arrays([pa.array(seeker.ids[seeker.q]), pa.array(seeker.c), pa.array(seeker.s)], names=["query_id", "vec_id", "score"])
 
-        found = rows.mapInArrow(run, schema)
+        found = coded.mapInArrow(lean(run), schema)
+        if slabs > 1:
+            found = written(found, "found")
+            sent.unpersist()
         out = found if out is None else out.unionByName(found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     best = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -111,8 +153,7 @@ class _Seeker:
 
     def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int, epsilon: float):
         self.ids, self.queries, self.k, self.epsilon = ids, queries, k, epsilon
-        self.turn = rotation(queries.shape[1])
-        self.turned = queries @ self.turn.T
+        self.turned = queries @ rotation(queries.shape[1]).T
         self.norms = np.linalg.norm(queries, axis=1)
         self.q, self.c, self.s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         # the queries are candidates of each other: their k-th best, less rounding, is a threshold that holds for all
@@ -128,8 +169,7 @@ class _Seeker:
                     kth = np.partition(scores, -k, axis=1)[:, -k]
                     self.floor[own] = kth - 1e-9 * (1 + np.abs(kth))
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        codes, norms, align = encode(vectors, self.turn)
+    def add(self, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray, norms: np.ndarray, align: np.ndarray) -> None:
         step = max(1, (1 << 21) // max(1, len(ids)))
         for i in range(0, len(self.ids), step):
             about, bound = estimate(codes, norms, align, self.turned[i : i + step], self.norms[i : i + step], self.epsilon)

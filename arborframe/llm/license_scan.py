@@ -453,12 +453,12 @@ def _unsuppressed(found: Column) -> Column:
     """Detections that no other one suppresses; each stretch of the text is compared with what reaches into it."""
 
     def stretch(b: Column) -> Column:
-        near = F.filter(found, lambda x: (F.floor(x["s"] / STRETCH) <= b) & (F.floor((x["e"] - 1) / STRETCH) >= b))
+        # a detection is shorter than a stretch: what starts in this one ends in the next at the latest
+        near = F.filter(found, lambda x: (F.floor(x["s"] / STRETCH) <= b + 1) & (F.floor((x["e"] - 1) / STRETCH) >= b))
         # bound to a name by an array of one
         return F.flatten(F.transform(F.array(near), lambda own: F.filter(own, lambda x: (F.floor(x["s"] / STRETCH) == b) & ~F.exists(own, lambda y: _stays(x, y)))))
 
     last = F.floor(F.array_max(F.transform(found, lambda x: x["e"])) / STRETCH)
-    # a detection that reaches over an end of its stretch is compared where it starts, with all that reach there
     return F.when(F.size(found) > 0, F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), last), stretch))).otherwise(found)
 
 

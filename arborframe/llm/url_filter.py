@@ -5,7 +5,8 @@ url's path starts with the rule's path. Of the fitting rules the longest one (ch
 together, then of the host) decides; of an allow and a block entry for the same place, allow.
 
 The trie is broadcast. Its size is bounded: a rule list longer than ``slice_rules`` is cut into slices, each
-a trie of its own that the rows pass in turn, keeping the longest match so far.
+a trie of its own that the rows pass in turn, keeping the longest match so far. The list itself is the caller's, in
+the driver's memory; all slices together are as large.
 
 Defined results: a null url, one without ``://`` and an empty one have an empty host and an empty path, so
 that only rules without a path and host could fit them; no rule fits: the default verdict. Other columns of
@@ -95,14 +96,17 @@ def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], id_col: str
         trie = sc.broadcast(UrlTrie(rules[at : at + slice_rules]))
         last = at + slice_rules >= len(rules)
 
+        def weight(rule: str, verdict: str) -> tuple[int, int, bool]:
+            return len(rule), len(rule.partition("/")[0]), verdict == "allow"
+
         def judge(batches: Iterator[pa.RecordBatch], trie=trie, last=last) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 split = [split_url(u) for u in b.column("url").to_pylist()]
                 verdicts, kept = [], []
                 for (host, path), rule, verdict in zip(split, b.column("rule").to_pylist(), b.column("verdict").to_pylist()):
                     hit = trie.value.match(host, path)
-                    # an earlier slice's rule stays unless this one is longer
-                    if hit and (rule is None or (len(hit[0]), hit[0].index("/") if "/" in hit[0] else len(hit[0])) > (len(rule), rule.index("/") if "/" in rule else len(rule))):
+                    # an earlier slice's rule stays unless this one is longer, or allows the same place
+                    if hit and (rule is None or weight(*hit) > weight(rule, verdict)):
                         rule, verdict = hit
                     kept.append(rule)
                     verdicts.append(verdict or (default if last else None))
