@@ -345,11 +345,9 @@ KEYWORDS = ("license", "licence", "licensed", "licensee", "licensor", "licenses"
 
 #: What a text holds whenever its words hold one of these keywords, and a rule of it fits; others stand for themselves.
 _RAW = {
-    ("licens", "licenc"): ("license", "licence", "licensed", "gnu", "documentation", "mozilla", "eclipse", "common", "distribution", "artistic", "boost", "unlicense", "sil", "python", "php", "ruby", "european", "software", "academic", "microsoft", "ncsa", "postgresql", "openssl", "database", "dedication", "business", "server", "elastic", "w3c", "vim", "curl", "json", "permissive", "affero"),
+    ("licens", "licenc"): ("license", "licence", "licensed", "gnu", "documentation", "mozilla", "eclipse", "common", "distribution", "artistic", "boost", "sil", "python", "php", "ruby", "european", "software", "academic", "microsoft", "ncsa", "postgresql", "openssl", "database", "dedication", "business", "server", "elastic", "w3c", "vim", "curl", "json", "permissive", "affero"),
     ("creative",): ("attribution", "sharealike", "share", "noncommercial", "non", "noderivatives", "zero"),
     ("cc",): ("cc",),
-    ("bsd",): ("bsd",),
-    ("gpl",): ("gpl", "lgpl", "agpl"),
 }
 
 
@@ -392,20 +390,31 @@ def _starts(words: set[str]) -> str:
     return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
 
+_EDGE = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
+
+
 @functools.lru_cache(maxsize=1)
-def gate() -> str:
-    """A pattern that fits every text that any rule or phrase fits."""
+def gate() -> tuple[str, str, str]:
+    """Three patterns: every text that any rule or phrase fits has the first, or the second and the third."""
     signed = {keyword(words) for _, words in SIGNATURES}
     raw: set[str] = set()
-    for k in {word for _, _, word, _ in rules()} | {"mit", "apache", "cc"}:
+    for k in {word for _, _, word, _ in rules()} | {"apache"}:
         # what references hold besides their keyword; signatures hold theirs
         stands = [k] if k in signed else next((r for r, words in _RAW.items() if k in words), [k])
         raw |= {x for x in stands if x != "cc"}
-    # short ones stand as words, but for those that are parts of others
-    short = {k for k in raw if len(k) <= 4 and k not in ("gpl", "bsd", "cddl")}
-    long = {k for k in raw - short if not any(o != k and o in k for o in raw - short)}
-    edge = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"
-    return f"{_starts(long)}|[Cc][Cc]{_GAP}[Bb][Yy]|(?:^|{edge}){_starts(short)}(?:{edge}|$)"
+    # names that are words of other kinds too: a reference to them says licence, or under
+    alone = raw & {"mit", "expat", "isc", "x11", "zlib", "osl"}
+    raw -= alone
+    # keywords are whole words; the end of a short one is looked at too
+    short = {k for k in raw if len(k) <= 4}
+    ends = f"(?:{_EDGE}|$)"
+    return f"{_EDGE}(?:{_starts(raw - short)}|[Cc][Cc]{_GAP}[Bb][Yy]|{_starts(short)}{ends})", f"{_EDGE}{_starts(alone)}{ends}", f"{_EDGE}{_any_case('under')}{ends}"
+
+
+def _passes(text: Column) -> Column:
+    """The patterns begin with what stands before a word, so the text gets a space in front."""
+    first, *both = (F.rlike(F.concat(F.lit(" "), text), F.lit(p)) for p in gate())
+    return first | (both[0] & both[1])
 
 
 def _laid_out(text: Column) -> Column:
@@ -437,7 +446,7 @@ def _matched(rows: list[tuple[str, int, str, str, int]], kind: str) -> Column:
         table = ", ".join(f"named_struct('label', {text(label)}, 'priority', {priority}, 'pattern', {text(p)}, 'n', {n})" for label, priority, _, p, n in own)
         groups.append(f"named_struct('keyword', {text(word)}, 'some', {text('|'.join(dict.fromkeys(r[3] for r in own)))}, 'rules', array({table}))")
     w = F.col("w")
-    taken = F.filter(F.expr(f"array({', '.join(groups)})"), lambda g: F.contains(w, g["keyword"]) & F.rlike(w, g["some"]))
+    taken = F.filter(F.expr(f"array({', '.join(groups)})"), lambda g: F.contains(w, F.concat(F.lit(" "), g["keyword"], F.lit(" "))) & F.rlike(w, g["some"]))
     found = F.transform(taken, lambda g: F.flatten(F.transform(F.filter(g["rules"], lambda r: F.rlike(w, r["pattern"])), lambda r: _places(r, kind))))
     return F.when(w.isNotNull(), F.flatten(found)).otherwise(F.array().cast(f"array<{kind}>"))
 
@@ -467,7 +476,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = "struct<s:int,e:int,label:string,priority:int,n:int>"
     base_rules = [(label, 0, phrase.split(" ")[0], pattern(phrase), n) for n, (phrase, label) in enumerate(BASE)]
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    d = d.select("doc_id", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), F.when(F.rlike("t", F.lit(gate())), _laid_out(F.col("t"))).alias("w"))
+    d = d.select("doc_id", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), F.when(_passes(F.col("t")), _laid_out(F.col("t"))).alias("w"))
     d = d.select("doc_id", "n_words", _matched(base_rules, kind).alias("base"), _matched([(*r, n) for n, r in enumerate(rules())], kind).alias("found"))
     d = d.select("doc_id", "n_words", "base", _unsuppressed(F.col("found")).alias("detections"))
     labels = lambda c: F.transform(c, lambda x: x["label"])
@@ -494,7 +503,7 @@ def oracle() -> str:
         WITH r(label, priority, keyword, pattern, n) AS (VALUES {values}),
         d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {q(WORD)}) AS a, coalesce(text, '') AS t FROM documents),
         w AS (SELECT doc_id, ' ' || translate(array_to_string(a, '  '), '{_UPPER}', '{_LOWER}') || ' ' AS w FROM d),
-        f AS (SELECT doc_id, label, priority, n, string_split_regex(w, pattern) AS g, regexp_extract_all(w, pattern) AS m FROM w, r WHERE contains(w, keyword) AND regexp_matches(w, pattern)),
+        f AS (SELECT doc_id, label, priority, n, string_split_regex(w, pattern) AS g, regexp_extract_all(w, pattern) AS m FROM w, r WHERE contains(w, ' ' || keyword || ' ') AND regexp_matches(w, pattern)),
         u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM f),
         p AS (SELECT doc_id, label, priority, n, {words('m[i]')} AS size,
                      CAST(list_sum(list_transform(g[1:i], lambda x: {words('x')})) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: {words('x')})), 0) AS BIGINT) AS s FROM u),
