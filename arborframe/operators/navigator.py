@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import instance_uid, normalize_key
 from ..functions.predicates import where
 from ..functions.scope import Scope
+from ..plans.store import stored
 from . import traverse
 
 GENERIC_DEPTH, CONTAINMENT_DEPTH = 10, 12
@@ -36,6 +37,8 @@ class Navigator:
 
     def __init__(self, graph, scope: Scope = Scope()):
         self.graph, self.scope = graph, scope
+        #: Walks over the whole graph that several queries start from, found once.
+        self._found: dict[tuple, DataFrame] = {}
 
     def scoped(self, **more) -> Navigator:
         return Navigator(self.graph, self.scope.narrowed(**more))
@@ -155,17 +158,23 @@ class Navigator:
 
     # -- structure nodes
 
-    def nodes_of_documents(self, depth: int | None = 3, anchors=None) -> DataFrame:
+    def nodes_of_documents(self, depth: int | None = GENERIC_DEPTH, anchors=None) -> DataFrame:
         """anchor (document key), node, depth of all structure nodes below each document; depth None: to any depth."""
-        starts, edges = self._starts(self.table("document"), "key", anchors), self.edges("HAS_STRUCTURE", "HAS_CHILD")
-        return traverse.closure(starts, edges) if depth is None else traverse.walk(starts, edges, depth)
-
-    def get_structure_nodes(self, depth: int = 3, anchors=None, roles: list[str] | None = None, title_contains: str | None = None, theme: str | None = None, conditions: Mapping[str, Any] | None = None) -> DataFrame:
+        key = ("nodes", depth)
+        if anchors is not None or key not in self._found:
+            starts, edges = self._starts(self.table("document"), "key", anchors), self.edges("HAS_STRUCTURE", "HAS_CHILD")
+            out = traverse.closure(starts, edges) if depth is None else traverse.walk(starts, edges, depth)
+            if anchors is not None:
+                return out
+            self._found[key] = out
+        return self._found[key]
+
+    def get_structure_nodes(self, depth: int = GENERIC_DEPTH, anchors=None, roles: list[str] | None = None, title_contains: str | None = None, theme: str | None = None, conditions: Mapping[str, Any] | None = None) -> DataFrame:
         nodes = self.find_structure_nodes(title_contains=title_contains, theme=theme, conditions=conditions)
         nodes = nodes if roles is None else nodes.where(F.col("role").isin(roles))
         return self.nodes_of_documents(depth, anchors).join(nodes.withColumnRenamed("id", "node"), "node").select("anchor", "node", "role", "title", "appearance_order", "theme")
 
-    def count_structure_nodes(self, depth: int = 3, roles: list[str] | None = None, anchors=None) -> DataFrame:
+    def count_structure_nodes(self, depth: int = GENERIC_DEPTH, roles: list[str] | None = None, anchors=None) -> DataFrame:
         return self.get_structure_nodes(depth, anchors, roles).groupBy("anchor").agg(F.count_distinct("node").alias("n"))
 
     def get_root_structure_nodes(self, anchors=None) -> DataFrame:
@@ -184,7 +193,7 @@ class Navigator:
         df = df if roles is None else df.where(F.col("role").isin(roles))
         return df.select("anchor", "node", "role", "appearance_order", "depth")
 
-    def get_structure_subtree(self, depth: int = 2, anchors=None) -> DataFrame:
+    def get_structure_subtree(self, depth: int = GENERIC_DEPTH, anchors=None) -> DataFrame:
         """A row per path below each section, with the titles of the node's units."""
         sections = self.table("structure_node").where("role = 'Section'")
         p = traverse.paths(self._starts(sections, "id", anchors), self.edges("HAS_CHILD"), depth)
@@ -242,7 +251,7 @@ class Navigator:
             raise ValueError("order_by is order or title")
         return ordered(self._anchored(self.table("info_unit").withColumnRenamed("node", "anchor"), anchors), order_by, "uid").select("anchor", "uid", "title", "order")
 
-    def count_info_units(self, depth: int = 3, anchors=None) -> DataFrame:
+    def count_info_units(self, depth: int = GENERIC_DEPTH, anchors=None) -> DataFrame:
         units = self.table("info_unit").select("node")
         return self.nodes_of_documents(depth, anchors).join(units, "node").groupBy("anchor").agg(F.count("*").alias("n"))
 
@@ -276,25 +285,25 @@ class Navigator:
     def get_model_decision(self, anchors=None) -> DataFrame:
         return self._anchored(self.table("model_decision").select(F.col("node").alias("anchor"), "uid", "matched_model", "confidence", "proposed_model"), anchors)
 
-    def get_document_model_decisions(self, matched_only: bool | None = None, depth: int = 3) -> DataFrame:
+    def get_document_model_decisions(self, matched_only: bool | None = None, depth: int = GENERIC_DEPTH) -> DataFrame:
         d = self.table("model_decision").select("node", "uid", "matched_model", "confidence")
         d = d if matched_only is None else d.where(F.col("matched_model").isNotNull() if matched_only else F.col("matched_model").isNull())
         return self.nodes_of_documents(depth).join(d, "node").select("anchor", "uid", "matched_model", "confidence")
 
-    def get_document_model_profile(self, depth: int = 3) -> DataFrame:
+    def get_document_model_profile(self, depth: int = GENERIC_DEPTH) -> DataFrame:
         df = self.nodes_of_documents(depth).join(self.table("model_decision").select("node", "uid", "matched_model", "proposed_model"), "node", "left")
         return df.groupBy("anchor").agg(F.count("matched_model").alias("matched"), F.count_if(F.col("uid").isNull()).alias("unannotated"), F.array_join(F.array_sort(F.collect_set("proposed_model")), ",").alias("proposed"))
 
     def get_nodes_by_annotated_model(self, model_class: str) -> DataFrame:
         return self.table("model_decision").where(F.col("matched_model") == model_class).select("node").distinct()
 
-    def get_unannotated_nodes(self, depth: int = 3) -> DataFrame:
+    def get_unannotated_nodes(self, depth: int = GENERIC_DEPTH) -> DataFrame:
         return self.nodes_of_documents(depth).join(self.table("model_decision").select("node"), "node", "left_anti").select("anchor", "node")
 
     def get_proposed_models(self) -> DataFrame:
         return self.table("model_decision").where("proposed_model IS NOT NULL").groupBy("proposed_model").agg(F.count("*").alias("n"), F.min("node").alias("first_node"))
 
-    def get_annotation_coverage(self, depth: int = 3) -> DataFrame:
+    def get_annotation_coverage(self, depth: int = GENERIC_DEPTH) -> DataFrame:
         df = self.nodes_of_documents(depth).join(self.table("model_decision").select("node", "uid", "matched_model", "proposed_model"), "node", "left")
         df = df.groupBy("anchor").agg(F.count("*").alias("total"), F.count("uid").alias("annotated"), F.count("matched_model").alias("matched"), F.count("proposed_model").alias("proposed"))
         return df.withColumn("ratio", F.round(F.when(F.col("total") > 0, F.col("annotated") / F.col("total")).otherwise(0.0), 6))
@@ -305,28 +314,66 @@ class Navigator:
         df = self.table("extraction_result").select(F.col("node").alias("anchor"), "uid", "model_class")
         return self._anchored(df, anchors)
 
-    def get_document_extraction_results(self, depth: int = 3, model_class: str | None = None) -> DataFrame:
+    def get_document_extraction_results(self, depth: int = GENERIC_DEPTH, model_class: str | None = None) -> DataFrame:
         x = self.table("extraction_result").select("node", "uid", "model_class")
         x = x if model_class is None else x.where(F.col("model_class") == model_class)
         return self.nodes_of_documents(depth).join(x, "node").select("anchor", "uid", "model_class")
 
-    def contained(self, depth: int = 4, anchors=None) -> DataFrame:
+    def _inside(self) -> DataFrame:
+        return self.edges(prefix="HAS_").where(~F.col("type").isin("HAS_STRUCTURE", "HAS_CHILD", "HAS_INFO_UNIT", "HAS_DECISION", "HAS_EXTRACTION", "HAS_NEWER_VERSION"))
+
+    def _entries(self, anchors=None) -> DataFrame:
+        """anchor (result uid), first: the instances that a result holds itself."""
+        inside = self._inside().select(F.col("src").alias("anchor"), F.col("dst").alias("first"))
+        return inside.join(self._starts(self.table("extraction_result"), "uid", anchors), "anchor", "left_semi").distinct()
+
+    def _below_entries(self, depth: int) -> DataFrame:
+        """first, node, depth: what each instance that some result holds contains, itself included.
+
+        Many results hold the same instances, so what is inside is found for each instance once.
+        """
+        key = ("contained", traverse.check_depth(depth))
+        if key not in self._found:
+            entries = self._entries().select(F.col("first").alias("anchor")).distinct()
+            own = entries.select(F.col("anchor").alias("first"), F.col("anchor").alias("node"), F.lit(1).alias("depth"))
+            if depth > 1:
+                below = traverse.walk(entries, self._inside(), depth - 1).where("anchor <> node")
+                own = own.union(below.select(F.col("anchor").alias("first"), "node", F.col("depth") + 1))
+            self._found[key] = own
+        return self._found[key]
+
+    def contained(self, depth: int = CONTAINMENT_DEPTH, anchors=None) -> DataFrame:
         """anchor (result uid), node, depth of the instances that each result contains, over HAS_ edges."""
-        inside = self.edges(prefix="HAS_").where(~F.col("type").isin("HAS_STRUCTURE", "HAS_CHILD", "HAS_INFO_UNIT", "HAS_DECISION", "HAS_EXTRACTION", "HAS_NEWER_VERSION"))
-        return traverse.walk(self._starts(self.table("extraction_result"), "uid", anchors), inside, depth)
+        return self._entries(anchors).join(self._below_entries(depth), "first").groupBy("anchor", "node").agg(F.min("depth").alias("depth"))
 
-    def get_node_model_instances(self, model_class: str | None = None, depth: int = 3, direct_only: bool = False, conditions: Mapping[str, Any] | None = None) -> DataFrame:
+    def _entries_of_nodes(self) -> DataFrame:
+        """anchor (node), first: the instances that the results of a node hold themselves."""
+        owner = self.table("extraction_result").select(F.col("uid").alias("anchor"), F.col("node").alias("owner"))
+        return self._entries().join(owner, "anchor").select(F.col("owner").alias("anchor"), "first").distinct()
+
+    def _entries_of_documents(self) -> DataFrame:
+        """anchor (document), first."""
+        return self.nodes_of_documents().join(self._entries_of_nodes().select(F.col("anchor").alias("node"), "first"), "node").select("anchor", "first").distinct()
+
+    def _instances(self, model_class: str | None, conditions: Mapping[str, Any] | None = None) -> DataFrame:
         i = self.table("model_instance").withColumnRenamed("uid", "node")
-        i = where(i if model_class is None else i.where(F.col("model_class") == model_class), conditions)
-        hops = self.contained(1 if direct_only else depth).join(self.table("extraction_result").select(F.col("uid").alias("anchor"), F.col("node").alias("owner")), "anchor")
-        return hops.join(i.select("node", "model_class"), "node").select(F.col("owner").alias("anchor"), "node", "model_class").distinct()
+        return where(i if model_class is None else i.where(F.col("model_class") == model_class), conditions).select("node", "model_class")
+
+    def get_node_model_instances(self, model_class: str | None = None, depth: int = CONTAINMENT_DEPTH, direct_only: bool = False, conditions: Mapping[str, Any] | None = None) -> DataFrame:
+        held = self._below_entries(1 if direct_only else depth).join(self._instances(model_class, conditions), "node")
+        return self._entries_of_nodes().join(held, "first").select("anchor", "node", "model_class").distinct()
 
-    def get_document_model_instances(self, model_class: str | None = None, depth: int = 3) -> DataFrame:
-        df = self.get_node_model_instances(model_class, depth).withColumnsRenamed({"anchor": "owner", "node": "uid"})
-        return self.nodes_of_documents().withColumnRenamed("node", "owner").join(df, "owner").select("anchor", "uid", "model_class").distinct()
+    def get_document_model_instances(self, model_class: str | None = None, depth: int = CONTAINMENT_DEPTH) -> DataFrame:
+        held = self._below_entries(depth).join(self._instances(model_class), "node")
+        return self._entries_of_documents().join(held, "first").select("anchor", F.col("node").alias("uid"), "model_class").distinct()
 
-    def count_document_model_instances(self, depth: int = 3) -> DataFrame:
-        return self.get_document_model_instances(depth=depth).groupBy("anchor", "model_class").agg(F.count("*").alias("n"))
+    def count_document_model_instances(self, depth: int = CONTAINMENT_DEPTH) -> DataFrame:
+        """Documents that hold the same first instances have the same counts, found once for each set of them."""
+        sets = self._entries_of_documents().groupBy("anchor").agg(F.array_sort(F.collect_set("first")).alias("set"))
+        sets = sets.select("anchor", F.sha2(F.to_json("set"), 256).alias("held"), "set")
+        each = sets.groupBy("held").agg(F.any_value("set").alias("set")).select("held", F.explode("set").alias("first"))
+        found = each.join(self._below_entries(depth).join(self._instances(None), "node"), "first").select("held", "node", "model_class").distinct()
+        return sets.select("anchor", "held").join(found.groupBy("held", "model_class").agg(F.count("*").alias("n")), "held").select("anchor", "model_class", "n")
 
     def get_model_instances_by_class(self, model_class: str, conditions: Mapping[str, Any] | None = None, order_by: str | None = None, limit: int | None = None, skip: int | None = None) -> DataFrame:
         i = self.table("model_instance").where(F.col("model_class") == model_class)
@@ -340,41 +387,44 @@ class Navigator:
     def get_model_instance(self, uid: str) -> DataFrame:
         return self.table("model_instance").where(F.col("uid") == uid)
 
-    def get_structure_nodes_for_model_instance(self, depth: int = 2) -> DataFrame:
-        owner = self.table("extraction_result").select(F.col("uid").alias("anchor"), F.col("node").alias("owner"))
-        return self.contained(depth).join(owner, "anchor").groupBy(F.col("node").alias("uid"), "owner").agg(F.min("depth").alias("hops"))
+    def get_structure_nodes_for_model_instance(self, depth: int = CONTAINMENT_DEPTH) -> DataFrame:
+        found = self._entries_of_nodes().join(self._below_entries(depth), "first")
+        return found.groupBy(F.col("node").alias("uid"), F.col("anchor").alias("owner")).agg(F.min("depth").alias("hops"))
 
-    def get_documents_for_model_instance(self, depth: int = 2) -> DataFrame:
-        owners = self.get_structure_nodes_for_model_instance(depth).select("uid", F.col("owner").alias("node"))
-        return owners.join(self.nodes_of_documents(), "node").select("uid", F.col("anchor").alias("document")).distinct()
+    def get_documents_for_model_instance(self, depth: int = CONTAINMENT_DEPTH) -> DataFrame:
+        return self._entries_of_documents().join(self._below_entries(depth), "first").select(F.col("node").alias("uid"), F.col("anchor").alias("document")).distinct()
 
-    def get_extraction_results_for_model_instance(self, depth: int = 2) -> DataFrame:
-        return self.contained(depth).select(F.col("node").alias("uid"), F.col("anchor").alias("result")).distinct()
+    def get_extraction_results_for_model_instance(self, depth: int = CONTAINMENT_DEPTH) -> DataFrame:
+        return self.contained(depth).select(F.col("node").alias("uid"), F.col("anchor").alias("result"))
 
     def _instance_edges(self, rel_type: str | None = None) -> DataFrame:
         i = self.table("model_instance").select("uid")
         e = self.edges(*([rel_type] if rel_type else [])).where("label = 'ModelInstance'")
         return e.join(i.select(F.col("uid").alias("src")), "src", "left_semi").join(i.select(F.col("uid").alias("dst")), "dst", "left_semi").select("src", "type", "dst")
 
-    def get_outgoing_model_instances(self, depth: int = 2, rel_type: str | None = None, anchors=None) -> DataFrame:
+    def get_outgoing_model_instances(self, depth: int = GENERIC_DEPTH, rel_type: str | None = None, anchors=None) -> DataFrame:
         """A row per distinct (node, type of the path's first hop)."""
         e = self._instance_edges(rel_type)
+        e = stored(e)
         first = self._anchored(e.select(F.col("src").alias("anchor"), "type", F.col("dst").alias("node")), anchors)
-        out, level = first, first
+        out = level = first.distinct()
         for _ in range(traverse.check_depth(depth) - 1):
             level = level.join(e.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select("anchor", "type", F.col("next").alias("node")).distinct()
+            level = stored(level.join(out, ["anchor", "type", "node"], "left_anti"))
+            if level.isEmpty():
+                break
             out = out.union(level)
-        return out.distinct()
+        return out
 
-    def get_incoming_model_instances(self, depth: int = 2, rel_type: str | None = None, anchors=None) -> DataFrame:
+    def get_incoming_model_instances(self, depth: int = GENERIC_DEPTH, rel_type: str | None = None, anchors=None) -> DataFrame:
         """A row per distinct (node, type of the path's last hop)."""
-        turned = Navigator.__new__(Navigator)
-        turned.graph, turned.scope = self.graph, self.scope
+        turned = Navigator(self.graph, self.scope)
         turned._instance_edges = lambda rel=None: traverse.reverse(self._instance_edges(rel)).select("src", "type", "dst")
         return turned.get_outgoing_model_instances(depth, rel_type, anchors)
 
-    def get_model_instance_subtree(self, depth: int = 2, anchors=None) -> DataFrame:
-        starts = self._starts(self.table("model_instance").where("model_class = 'Region'"), "uid", anchors)
+    def get_model_instance_subtree(self, depth: int = GENERIC_DEPTH, anchors=None) -> DataFrame:
+        """A row per path below each instance, or below those given."""
+        starts = self._starts(self.table("model_instance"), "uid", anchors)
         return traverse.paths(starts, self._instance_edges(), depth).select("anchor", "node", "depth", F.element_at("path", -2).alias("parent"))
 
     def get_model_instance_relationships(self, direction: str = "both", rel_type: str | None = None, anchors=None) -> DataFrame:
@@ -407,14 +457,16 @@ class Navigator:
         e = self.edges("REFERENCES").select(F.col("src").alias("anchor"), "dst", F.col("field").alias("field_name"))
         return self._anchored(e, anchors).join(le, "dst").select("anchor", "field_name", "label", "value")
 
-    def _entities_of(self, owned: DataFrame, label: str | None) -> DataFrame:
-        return owned.join(self.get_model_instance_entities(label).withColumnRenamed("anchor", "uid"), "uid").select("anchor", "label", "value").distinct()
+    def _entities_of(self, entries: DataFrame, label: str | None, depth: int) -> DataFrame:
+        """Entities of owners (anchor, first): those of each first instance are made distinct before owners multiply them."""
+        held = self._below_entries(depth).select("first", F.col("node").alias("anchor")).join(self.get_model_instance_entities(label), "anchor")
+        return entries.join(held.select("first", "label", "value").distinct(), "first").select("anchor", "label", "value").distinct()
 
-    def get_node_entities(self, label: str | None = None, depth: int = 3) -> DataFrame:
-        return self._entities_of(self.get_node_model_instances(depth=depth).select("anchor", F.col("node").alias("uid")), label)
+    def get_node_entities(self, label: str | None = None, depth: int = CONTAINMENT_DEPTH) -> DataFrame:
+        return self._entities_of(self._entries_of_nodes(), label, depth)
 
-    def get_document_entities(self, label: str | None = None, depth: int = 3) -> DataFrame:
-        return self._entities_of(self.get_document_model_instances(depth=depth).select("anchor", "uid"), label)
+    def get_document_entities(self, label: str | None = None, depth: int = CONTAINMENT_DEPTH) -> DataFrame:
+        return self._entities_of(self._entries_of_documents(), label, depth)
 
     def list_entity_labels(self) -> DataFrame:
         return self.table("labeled_entity").groupBy("label").agg(F.count("*").alias("n"))
@@ -433,9 +485,9 @@ class Navigator:
         i = i if model_class is None else i.where(F.col("model_class") == model_class)
         return self.edges("REFERENCES").join(i, "src").select(F.col("dst").alias("entity"), F.col("src").alias("uid"), "model_class")
 
-    def get_nodes_referencing_entity(self, depth: int = 3) -> DataFrame:
-        owners = self.get_node_model_instances(depth=depth).select(F.col("anchor").alias("owner"), F.col("node").alias("src"))
-        return self.edges("REFERENCES").join(owners, "src").select(F.col("dst").alias("entity"), "owner").distinct()
+    def get_nodes_referencing_entity(self, depth: int = CONTAINMENT_DEPTH) -> DataFrame:
+        held = self._below_entries(depth).select("first", F.col("node").alias("src")).join(self.edges("REFERENCES"), "src").select("first", F.col("dst").alias("entity")).distinct()
+        return self._entries_of_nodes().join(held, "first").select("entity", F.col("anchor").alias("owner")).distinct()
 
     def triples(self) -> DataFrame:
         """subject, predicate, object: relations between instances, by their names or keys."""
@@ -558,9 +610,10 @@ class Navigator:
         return traverse.walk(anchors, e if direction == "out" else traverse.reverse(e), depth)
 
     def shortest_path(self, anchors: DataFrame, targets: DataFrame, max_hops: int = 6, edge_types: list[str] | None = None) -> DataFrame:
-        return traverse.shortest(anchors, targets, self.edges(*(edge_types or [])), max_hops)
+        """anchor, node, hops, path (nodes), types of one shortest path to each target."""
+        return traverse.shortest_paths(anchors, targets, self.edges(*(edge_types or [])), max_hops)
 
-    def subgraph(self, anchors: DataFrame, depth: int = 1, edge_types: list[str] | None = None) -> DataFrame:
+    def subgraph(self, anchors: DataFrame, depth: int = 2, edge_types: list[str] | None = None) -> DataFrame:
         """Edges between any two nodes of the neighbourhood."""
         near = self.neighbors(anchors, depth, edge_types).select("node").union(anchors.select(F.col("anchor").alias("node"))).distinct()
         e = self.edges(*(edge_types or []))

@@ -7,21 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import traverse
+from ..plans.store import stored
 
 
-def _tokens(c: Column) -> Column:
-    return F.split(F.lower(c), "\\s+")
+_STRIP = "^\\s+|\\s+$"
+
+
+def _plain(c: Column) -> Column:
+    """A value as it is compared: white space collapsed, lower case."""
+    return F.lower(F.regexp_replace(c, "\\s+", " "))
 
 
 def _covers(a: Column, x: Column) -> Column:
     """Whether a says all that x says: it holds x's text, or all its words."""
-    return F.contains(F.lower(a), F.lower(x)) | (F.size(F.array_except(_tokens(x), _tokens(a))) == 0)
+    a, x = _plain(a), _plain(x)
+    return F.contains(a, x) | (F.size(F.array_except(F.split(x, " "), F.split(a, " "))) == 0)
 
 
 def merge_values(values: Column) -> Column:
-    """Values without those that another one covers, in order; blanks are dropped and ends trimmed."""
-    trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
+    """Values without those that another one covers, in order; blanks and nulls are dropped, white space at the ends trimmed."""
+    trimmed = F.filter(F.transform(values, lambda v: F.regexp_replace(v, _STRIP, "")), lambda v: v != "")
     empty = F.array().cast("array<string>")
     return F.aggregate(trimmed, empty, lambda acc, x: F.when(F.exists(acc, lambda a: _covers(a, x)), acc).otherwise(F.concat(F.filter(acc, lambda a: ~_covers(x, a)), F.array(x))))
 
@@ -72,17 +77,30 @@ def merge_siblings(nodes: DataFrame, keys: list[str], order: str, default_theme:
     return g.withColumn("theme", F.coalesce("own", F.lit(default_theme))).drop("own")
 
 
-def assemble_tree(nodes: DataFrame, decisions: DataFrame, depth: int = 10) -> DataFrame:
-    """id, parent: orphans take the first decision's parent; an unknown one, or a cycle, makes a root.
+def assemble_tree(nodes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """id, parent: orphans take the first decision's parent; an unknown one makes a root, and so does a circle, of its orphans.
 
-    nodes: id, parent, is_orphan. decisions: id, parent, seq.
+    nodes: id, parent, is_orphan. decisions: id, parent, seq. A node lies in a circle if it is still among its own
+    ancestors after all chains that end have been shortened away, by doubling the reach of every step.
     """
     first = decisions.groupBy("id").agg(F.min_by("parent", "seq").alias("decided"))
     df = nodes.join(first, "id", "left").withColumn("wanted", F.when(F.col("is_orphan"), F.col("decided")).otherwise(F.col("parent")))
     df = df.join(nodes.select(F.col("id").alias("wanted"), F.lit(True).alias("known")), "wanted", "left").withColumn("wanted", F.when(F.col("known"), F.col("wanted"))).select("id", "wanted", "is_orphan")
-    up = df.where("wanted IS NOT NULL").select(F.col("id").alias("src"), F.lit("UP").alias("type"), F.col("wanted").alias("dst"))
-    circle = traverse.walk(df.where("is_orphan").select(F.col("id").alias("anchor")), up, depth).where("anchor = node").select(F.col("anchor").alias("id"), F.lit(True).alias("in_circle"))
-    return df.join(circle, "id", "left").select("id", F.when(F.col("in_circle").isNull(), F.col("wanted")).alias("parent"))
+    # after 2^k steps: where each node stands, and who has ended at a root is gone
+    step = stored(df.where("wanted IS NOT NULL").select("id", F.col("wanted").alias("to")))
+    reach, left = step, step.count()
+    while left:
+        reach = stored(reach.join(reach.select(F.col("id").alias("to"), F.col("to").alias("further")), "to").select("id", F.col("further").alias("to")))
+        before, left = left, reach.count()
+        if left == before:
+            break
+    # those left lead into circles; the circles are what is reached after so many steps as there are nodes
+    seen, size = reach.select(F.col("to").alias("id")).distinct(), -1
+    while left and (now := seen.count()) != size:
+        size = now
+        seen = stored(step.join(seen, "id", "left_semi").select(F.col("to").alias("id")).distinct())
+    circle = seen.select("id", F.lit(True).alias("in_circle"))
+    return df.join(circle, "id", "left").select("id", F.when(F.col("in_circle").isNull() | ~F.col("is_orphan"), F.col("wanted")).alias("parent"))
 
 
 def first_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -126,12 +144,18 @@ def active_branch(nodes: DataFrame, group: str, order: str, parent: str) -> Data
     """
     last = nodes.groupBy(group).agg(F.max_by("id", order).alias("anchor"))
     up = nodes.where(F.col(parent).isNotNull()).select(group, F.col("id").alias("node"), F.col(parent).alias("next"))
+    up = stored(up)
     level = last.select(group, F.col("anchor").alias("node"))
     out = level.withColumn("level", F.lit(0))
-    for n in range(1, traverse.check_depth(10) + 1):
-        level = level.join(up, [group, "node"]).select(group, F.col("next").alias("node"))
+    n = 0
+    while True:
+        n += 1
+        # what was met before in the group ends the climb, should parents form a circle
+        level = level.join(up, [group, "node"]).select(group, F.col("next").alias("node")).join(out.select(group, "node"), [group, "node"], "left_anti")
+        level = stored(level)
+        if level.isEmpty():
+            return out.withColumnRenamed("node", "id")
         out = out.union(level.withColumn("level", F.lit(n)))
-    return out.withColumnRenamed("node", "id")
 
 
 def output_parts(sizes: list[int], ceiling: float) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions.keys import ancestor_paths, edge_type, instance_uid, normalize_key
 from .functions.predicates import Op
 from .functions.scope import Scope
-from .operators.lifecycle import batch_version, delete_cascade, newer_versions, nodes_below, orphans, progress, restore, select_documents, snapshot, with_composed, with_latest
+from .operators.lifecycle import batch_version, delete_cascade, newer_versions, nodes_below, orphans, progress, restore_tables, select_documents, snapshot, snapshot_edges, with_composed, with_latest
 from .operators.navigator import Navigator, previous_page
 from .operators.transforms import assemble_tree, merge_entities, merge_values, normalization_key, prefix_parents, raw_rows, route_rows
 from .oracles import GRAPH, SQL, oracle
@@ -47,31 +47,22 @@ CALLS: dict[str, Callable[[Navigator], DataFrame]] = {
     "get_documents": lambda n: n.get_documents(name_contains="7", is_folder=False, path_prefix="en/", conditions={"job_id": Op("is_not_null")}).select("path", "version", "name"),
     "get_documents_scoped": lambda n: n.scoped(tenant_id="fr", users=["u1", "u2"], jobs=["src0", "src1", "src2"]).get_documents().select("path", "version"),
     "document_exists": lambda n: n.document_exists(n.graph.source("documents").select(F.concat_ws("/", "lang", "source", (F.col("doc_id") + 3).cast("string")).alias("path"))),
-    "get_document_tree": lambda n: n.get_document_tree(depth=3),
-    "get_document_ancestors": lambda n: n.get_document_ancestors(depth=3),
-    "get_document_leaves": lambda n: n.get_document_leaves(depth=3),
     "get_structure_nodes": lambda n: n.get_structure_nodes(roles=["Table", "FreeformBlock"], title_contains="e", conditions={"appearance_order": Op("gte", 2)}),
     "get_structure_nodes_by_ids": lambda n: n.get_structure_nodes_by_ids(n.graph._lines.select(F.col("i").alias("pos"), F.concat("doc", F.lit("::b"), (F.col("i") + 1).cast("string")).alias("id"))),
     "get_child_nodes": lambda n: n.get_child_nodes(depth=2),
-    "get_node_ancestors": lambda n: n.get_node_ancestors(depth=3),
-    "get_node_path": lambda n: n.get_node_path(depth=3),
     "find_structure_nodes": lambda n: n.find_structure_nodes(title_contains="an", role="FreeformBlock", conditions={"title": Op("regex", "[A-Z].*")}).select("id", "role", "title"),
     "get_nodes_by_theme": lambda n: n.get_nodes_by_theme("tables"),
     "search_info_units": lambda n: n.search_info_units("thanor tisher erstly").select("uid", F.round("score", 6).alias("score")),
     "get_document_model_decisions": lambda n: n.get_document_model_decisions(matched_only=True),
     "get_nodes_by_annotated_model": lambda n: n.get_nodes_by_annotated_model("Report"),
-    "get_node_model_instances": lambda n: n.get_node_model_instances(depth=2),
-    "get_document_model_instances": lambda n: n.get_document_model_instances(depth=2),
-    "count_document_model_instances": lambda n: n.count_document_model_instances(depth=2),
     "get_model_instances_by_class": lambda n: n.get_model_instances_by_class("Order", {"status": "F", "priority": Op("in", ["1-URGENT", "2-HIGH"])}),
     "get_related_model_instances": lambda n: n.get_related_model_instances("FOLLOWED_BY"),
-    "get_node_entities": lambda n: n.get_node_entities(depth=3),
-    "get_document_entities": lambda n: n.get_document_entities(depth=3),
     "get_labeled_entities": lambda n: n.get_labeled_entities(label="Segment", conditions={"normalized_value": Op("ne", "building")}),
     "get_entity_triples": lambda n: n.get_entity_triples("ASIA"),
     "list_model_classes_present": lambda n: n.list_model_classes_present(n.graph.spark.createDataFrame([("Region",), ("Report",), ("Absent",)], "model_class string")),
     "neighbors": lambda n: n.neighbors(_nations(n), 1, ["HAS_NATION", "HAS_CUSTOMER"]).union(n.neighbors(_nations(n), 2, ["HAS_NATION"]).where("depth = 2")),
-    "shortest_path": lambda n: n.shortest_path(_regions(n), n.table("model_instance").where("model_class = 'Customer'").select(F.col("uid").alias("node")), 2, ["HAS_NATION", "HAS_CUSTOMER"]),
+    "shortest_path": lambda n: n.shortest_path(_regions(n), n.table("model_instance").where("model_class = 'Customer'").select(F.col("uid").alias("node")), edge_types=["HAS_NATION", "HAS_CUSTOMER"]).select("anchor", "node", "hops", F.array_join("path", ">").alias("path"), F.array_join("types", ">").alias("types")),
+    "get_model_instance_subtree": lambda n: n.get_model_instance_subtree(anchors=_regions(n)),
     "subgraph": lambda n: n.subgraph(_regions(n), 2, ["HAS_NATION", "HAS_CUSTOMER"]),
     "get_document_source_text": lambda n: n.get_document_source_text(10),
     "previous_page": lambda n: previous_page(n.pages(10)),
@@ -92,7 +83,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each top-level folder: documents, nodes, units, instances and annotation coverage."""
     n = navigator(spark, sf_dir)
     stats, cover = n.get_document_stats(), n.get_annotation_coverage().select("anchor", "total", "annotated")
-    instances = n.get_document_model_instances(depth=2).groupBy("anchor").agg(F.count("*").alias("n_instances"))
+    instances = n.count_document_model_instances().groupBy("anchor").agg(F.sum("n").alias("n_instances"))
     df = stats.join(cover, "anchor").join(instances, "anchor", "left").withColumn("folder", F.split("anchor", "::")[0])
     out = df.groupBy("folder").agg(F.count("*").alias("documents"), F.sum("n_nodes").alias("nodes"), F.sum("n_units").alias("units"), F.coalesce(F.sum("n_instances"), F.lit(0)).alias("instances"), F.sum("annotated").alias("a"), F.sum("total").alias("t"))
     return out.select("folder", "documents", "nodes", "units", "instances", F.round(F.when(F.col("t") > 0, F.col("a") / F.col("t")).otherwise(0.0), 6).alias("coverage"))
@@ -148,7 +139,7 @@ MORE = {
         "SELECT i.p_brand, i.id, max_by(j.id, length(j.id)) AS parent FROM (SELECT DISTINCT p_brand, unnest([replace(p_type, ' ', '_'), split_part(p_type, ' ', 1)]) AS id FROM part) i LEFT JOIN (SELECT DISTINCT p_brand, unnest([replace(p_type, ' ', '_'), split_part(p_type, ' ', 1)]) AS id FROM part) j ON i.p_brand = j.p_brand AND starts_with(i.id, j.id || '_') GROUP BY ALL",
     ),
     "assemble_tree": _q(
-        lambda s, d, n: assemble_tree(n.graph.source("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("is_orphan")), n.graph.source("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 1).otherwise(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey") - 5)).cast("string").alias("parent"), F.lit(1).alias("seq")), depth=2),
+        lambda s, d, n: assemble_tree(n.graph.source("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit(True).alias("is_orphan")), n.graph.source("orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey") + 1).otherwise(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") - 1).otherwise(F.col("o_orderkey") - 5)).cast("string").alias("parent"), F.lit(1).alias("seq"))),
         """, w AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 3 = 0 THEN o_orderkey - 1 ELSE o_orderkey - 5 END AS p FROM orders),
            k AS (SELECT w.id, CASE WHEN o.o_orderkey IS NOT NULL THEN p END AS p FROM w LEFT JOIN orders o ON o.o_orderkey = p)
            SELECT CAST(a.id AS VARCHAR) AS id, CAST(CASE WHEN b.p = a.id OR a.p = a.id THEN NULL ELSE a.p END AS VARCHAR) AS parent FROM k a LEFT JOIN k b ON b.id = a.p""",
@@ -174,24 +165,28 @@ MORE = {
         graph=True,
     ),
     "delete_cascade": _q(
-        lambda s, d, n: _counts(delete_cascade(n, select_documents(n.table("document"), job_id="src0"))),
-        """, gone AS (SELECT key FROM document WHERE job_id = 'src0'), gn AS (SELECT id FROM node WHERE doc IN (SELECT key FROM gone))
-           SELECT 'document' AS label, count(*) AS n FROM document WHERE key NOT IN (SELECT key FROM gone) UNION ALL SELECT 'structure_node', count(*) FROM node WHERE id NOT IN (SELECT id FROM gn)
-           UNION ALL SELECT 'info_unit', count(*) FROM unit WHERE node NOT IN (SELECT id FROM gn) UNION ALL SELECT 'model_decision', count(*) FROM decision WHERE node NOT IN (SELECT id FROM gn)
-           UNION ALL SELECT 'extraction_result', count(*) FROM result WHERE node NOT IN (SELECT id FROM gn)""",
+        lambda s, d, n: _digests(delete_cascade(n, select_documents(n.table("document"), tenant_id="en", job_id="src0"))),
+        """, gone AS (SELECT key FROM document WHERE job_id = 'src0' AND tenant_id = 'en'), gn AS (SELECT id FROM node WHERE doc IN (SELECT key FROM gone)), gx AS (SELECT uid FROM result WHERE node IN (SELECT id FROM gn)),
+           safe AS (SELECT DISTINCT node FROM contained WHERE anchor NOT IN (SELECT uid FROM gx)),
+           gi AS (SELECT uid FROM instance WHERE uid IN (SELECT node FROM contained WHERE anchor IN (SELECT uid FROM gx)) AND uid NOT IN (SELECT node FROM safe)),
+           ge(uid) AS (SELECT uid FROM entity WHERE uid IN (SELECT dst FROM edge WHERE type = 'REFERENCES' AND src IN (SELECT uid FROM gi)) AND uid NOT IN (SELECT dst FROM edge WHERE (type = 'REFERENCES' AND src NOT IN (SELECT uid FROM gi)) OR type = 'REQUESTS')),
+           allgone AS (SELECT key AS k FROM gone UNION ALL SELECT id FROM gn UNION ALL SELECT uid FROM unit WHERE node IN (SELECT id FROM gn) UNION ALL SELECT uid FROM decision WHERE node IN (SELECT id FROM gn) UNION ALL SELECT uid FROM gx UNION ALL SELECT uid FROM gi UNION ALL SELECT uid FROM ge)
+           SELECT label, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(k), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM (
+           SELECT 'document' AS label, key AS k FROM document UNION ALL SELECT 'structure_node', id FROM node UNION ALL SELECT 'info_unit', uid FROM unit UNION ALL SELECT 'model_decision', uid FROM decision
+           UNION ALL SELECT 'extraction_result', uid FROM result UNION ALL SELECT 'model_instance', uid FROM instance UNION ALL SELECT 'labeled_entity', uid FROM entity) WHERE k NOT IN (SELECT k FROM allgone) GROUP BY label
+           UNION ALL SELECT 'edges', count(*), CAST(sum(CAST('0x' || substr(md5(src || type || dst), 1, 8) AS BIGINT)) AS BIGINT) FROM edge WHERE src NOT IN (SELECT k FROM allgone) AND dst NOT IN (SELECT k FROM allgone)""",
         graph=True,
     ),
     "orphans": _q(
-        lambda s, d, n: orphans(n.table("model_instance"), n.table("extraction_result").where("doc_id % 5 = 0"), n.edges("HAS_REGION", "HAS_NATION", "HAS_CUSTOMER", "HAS_ORDER"), 4),
-        """, r AS (SELECT DISTINCT dst AS uid FROM edge WHERE type = 'HAS_REGION' AND src IN (SELECT uid FROM result WHERE doc_id % 5 = 0)),
-           t AS (SELECT DISTINCT e.dst AS uid FROM ie e JOIN r ON e.src = r.uid AND e.type LIKE 'HAS_%'), c AS (SELECT DISTINCT e.dst AS uid FROM ie e JOIN t ON e.src = t.uid AND e.type LIKE 'HAS_%'),
-           o AS (SELECT DISTINCT e.dst AS uid FROM ie e JOIN c ON e.src = c.uid AND e.type LIKE 'HAS_%')
-           SELECT uid FROM instance WHERE uid NOT IN (SELECT uid FROM r UNION ALL SELECT uid FROM t UNION ALL SELECT uid FROM c UNION ALL SELECT uid FROM o)""",
+        lambda s, d, n: orphans(n.table("model_instance"), n.table("extraction_result").where("model_class = 'Toxic'"), n.edges("HAS_REGION", "HAS_NATION", "HAS_CUSTOMER", "HAS_ORDER")),
+        "SELECT uid FROM instance WHERE uid NOT IN (SELECT c.node FROM contained c JOIN result r ON r.uid = c.anchor WHERE r.model_class = 'Toxic')",
         graph=True,
     ),
     "snapshot_round_trip": _q(
         lambda s, d, n: _round_trip(n),
-        "SELECT 'Document' AS label, count(*) AS n FROM document UNION ALL SELECT 'StructureNode', count(*) FROM node UNION ALL SELECT 'InfoUnit', count(*) FROM unit UNION ALL SELECT 'ModelDecision', count(*) FROM decision UNION ALL SELECT 'ExtractionResult', count(*) FROM result",
+        """SELECT label, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(k), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM (
+           SELECT 'document' AS label, key || path || version AS k FROM document UNION ALL SELECT 'structure_node', id || role || title FROM node UNION ALL SELECT 'info_unit', uid || description FROM unit UNION ALL SELECT 'model_decision', uid || confidence FROM decision
+           UNION ALL SELECT 'extraction_result', uid || model_class FROM result UNION ALL SELECT 'model_instance', uid || model_class FROM instance UNION ALL SELECT 'labeled_entity', uid || value FROM entity UNION ALL SELECT 'edges', src || type || dst FROM edge) GROUP BY label""",
         graph=True,
     ),
     "progress": _q(
@@ -204,9 +199,9 @@ MORE = {
     ),
     "media_segments": _q(
         lambda s, d, n: n.graph.source("orders").select("o_orderkey", F.explode(segments((F.col("o_orderkey") * 37 % 20000).cast("long"), 3000, 1000)).alias("s")).select("o_orderkey", "s.start_ms", "s.end_ms"),
-        """SELECT o_orderkey, CASE WHEN i > 0 AND i = n - 1 AND dur - i * 3000 < 1000 THEN greatest(dur - 1000, (i - 1) * 3000 + 1) ELSE i * 3000 END AS start_ms,
-               CASE WHEN i = n - 1 THEN dur WHEN i = n - 2 AND dur - (i + 1) * 3000 < 1000 THEN greatest(dur - 1000, i * 3000 + 1) ELSE (i + 1) * 3000 END AS end_ms
-           FROM (SELECT o_orderkey, dur, n, unnest(range(0, n)) AS i FROM (SELECT o_orderkey, o_orderkey * 37 % 20000 AS dur, CAST(ceil((o_orderkey * 37 % 20000) / 3000) AS BIGINT) AS n FROM orders))""",
+        """SELECT o_orderkey, CASE WHEN i > 0 AND i = n - 1 AND dur - i * 3000 < 1000 THEN (dur - 1000) // 1000 * 1000 ELSE i * 3000 END AS start_ms,
+               CASE WHEN i = n - 1 THEN dur WHEN i = n - 2 AND dur - (i + 1) * 3000 < 1000 THEN (dur - 1000) // 1000 * 1000 ELSE (i + 1) * 3000 END AS end_ms
+           FROM (SELECT o_orderkey, dur, n, unnest(range(0, n)) AS i FROM (SELECT o_orderkey, o_orderkey * 37 % 20000 AS dur, greatest(1, CAST(ceil((o_orderkey * 37 % 20000) / 3000) AS BIGINT)) AS n FROM orders))""",
     ),
     "json_items": _q(
         lambda s, d, n: json_items(n.graph.source("events").select("event_id", F.concat(F.lit('{"items": ['), "props", F.lit(']}')).alias("body")), "event_id", "body", "$.items", {"k": "$.k"}),
@@ -219,22 +214,28 @@ MORE = {
 }
 
 
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    parts = [df.agg(F.lit(k).alias("label"), F.count("*").alias("n")) for k, df in tables.items()]
-    return reduce(DataFrame.union, parts)
+#: What tells a row of each table apart.
+_KEYS = {"document": ("key",), "structure_node": ("id",), "info_unit": ("uid",), "model_decision": ("uid",), "extraction_result": ("uid",), "model_instance": ("uid",), "labeled_entity": ("uid",), "edges": ("src", "type", "dst")}
+_CONTENTS = {"document": ("key", "path", "version"), "structure_node": ("id", "role", "title"), "info_unit": ("uid", "description"), "model_decision": ("uid", "confidence"), "extraction_result": ("uid", "model_class"), "model_instance": ("uid", "model_class"), "labeled_entity": ("uid", "value"), "edges": ("src", "type", "dst")}
+
+
+def _digests(tables: dict[str, DataFrame], columns: dict[str, tuple[str, ...]] = _KEYS) -> DataFrame:
+    """label, n, digest (a sum over rows, whatever their order) of each table."""
+    text = lambda k: F.concat(*(F.col(c).cast("string") for c in columns[k]))
+    parts = [tables[k].select(F.lit(k).alias("label"), F.conv(F.substring(F.md5(text(k)), 1, 8), 16, 10).cast("long").alias("h")) for k in columns]
+    return reduce(DataFrame.union, parts).groupBy("label").agg(F.count("*").alias("n"), F.sum("h").alias("digest"))
 
 
 def _round_trip(n: Navigator) -> DataFrame:
-    """What there is per label after a job's documents were exported, deleted and restored."""
-    seeds = select_documents(n.table("document"), job_id="src0")
+    """What there is per label, by its contents, after a job's documents were exported, deleted and restored."""
+    seeds = select_documents(n.table("document"), tenant_id="en", job_id="src0")
     # both steps start from the same documents and nodes, found once
     documents = with_composed(n, seeds)
-    nodes = nodes_below(n, documents)
-    rows = stored(snapshot(n, seeds, documents, nodes).select("label", "key"))
+    nodes = stored(nodes_below(n, documents))
+    rows = stored(snapshot(n, seeds, documents, nodes))
+    edges = stored(snapshot_edges(n, rows))
     left = delete_cascade(n, seeds, documents, nodes)
-    names = {"document": ("Document", "key"), "structure_node": ("StructureNode", "id"), "info_unit": ("InfoUnit", "uid"), "model_decision": ("ModelDecision", "uid"), "extraction_result": ("ExtractionResult", "uid")}
-    existing = reduce(DataFrame.union, [left[t].select(F.lit(label).alias("label"), F.col(key).alias("key")) for t, (label, key) in names.items()])
-    return restore(existing, rows).groupBy("label").agg(F.count("*").alias("n"))
+    return _digests(restore_tables(left, rows, edges), _CONTENTS)
 
 
 MORE |= {k: _q(lambda s, d, n, make=make: make(n), sql, graph) for k, (make, sql, graph) in RECORDS.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.keys import normalize_key
-from .operators.lifecycle import freeze, leaves_or_self, newest_snapshot, restore, restore_plan, restored_edges, select_documents, sweep
+from .operators.lifecycle import TABLES, freeze, leaves_or_self, newest_snapshot, restore, restore_plan, restored_edges, select_documents, sweep
 from .operators.records import instance_rows, instantiate, keyed_links, sibling_links, source_values, upsert, with_shells, write_triples
 from .operators.transforms import active_branch, annotation_context, best_theme, compact_parents, merge_siblings, namespaced, renumbered
 from .plans.catalogue import SAMPLE
@@ -39,19 +39,18 @@ def _triples(n):
 
 def _restored(n):
     e = n.edges("FOLLOWED_BY").select("src", "type", "dst")
-    return restored_edges(e.where("length(src) % 2 = 0"), e).groupBy("type").agg(F.count("*").alias("n"))
+    return restored_edges(e.where("src < dst"), e).groupBy("type").agg(F.count("*").alias("n"))
 
 
 def _frozen(n):
-    out = freeze(n, select_documents(n.table("document"), job_id="src0"), "s1")
+    out = freeze(n, select_documents(n.table("document"), tenant_id="en", job_id="src0"), "s1")
     return out["document"].groupBy("snapshot_id").agg(F.count("*").alias("documents")).withColumn("snapshot_id", F.coalesce("snapshot_id", F.lit("none")))
 
 
 def _frozen_folder(n):
     """What there is per label after a folder was frozen and restored, and how many documents the freeze marked."""
     out = freeze(n, n.table("document").where("is_folder AND path = 'en'"), "s1")
-    names = {"structure_node": ("StructureNode", "id"), "info_unit": ("InfoUnit", "uid"), "model_decision": ("ModelDecision", "uid"), "extraction_result": ("ExtractionResult", "uid")}
-    left = [out[t].select(F.lit(label).alias("label"), F.col(key).alias("key")) for t, (label, key) in names.items()]
+    left = [out[t].select(F.lit(label).alias("label"), F.col(key).alias("key")) for label, (t, key) in TABLES.items() if t != "document"]
     stubs = out["document"].where("snapshot_id = 's1'").select(F.lit("stub").alias("label"), "key")
     rest = out["document"].where("snapshot_id IS NULL").select(F.lit("Document").alias("label"), "key")
     return restore(reduce(DataFrame.union, [rest, *left]), out["snapshot"]).union(stubs).groupBy("label").agg(F.count("*").alias("n"))
@@ -87,7 +86,7 @@ RECORDS = {
     "get_labeled_entity": (lambda n: n.get_labeled_entity(_entity_uid(n)).select("uid", "label", "value"), "SELECT uid, label, value FROM entity WHERE uid = (SELECT min(uid) FROM entity)", True),
     "get_nodes_referencing_entity": (
         lambda n: n.get_nodes_referencing_entity(),
-        ", c AS (SELECT DISTINCT x.node AS owner, c.dst AS inst FROM edge r JOIN result x ON r.src = x.uid AND r.type = 'HAS_REGION' JOIN edge t ON t.src = r.dst AND t.type = 'HAS_NATION' JOIN edge c ON c.src = t.dst AND c.type = 'HAS_CUSTOMER') SELECT DISTINCT e.dst AS entity, c.owner FROM c JOIN edge e ON e.src = c.inst AND e.type = 'REFERENCES'",
+        "SELECT DISTINCT e.dst AS entity, i.anchor AS owner FROM nodeinst i JOIN edge e ON e.src = i.node AND e.type = 'REFERENCES'",
         True,
     ),
     "get_page_image": (_image, "SELECT doc, CAST(i // 20 AS INTEGER) AS page_index, i AS image_index, sha256(line) AS sha256 FROM line WHERE contains(line, '|') ORDER BY doc, i LIMIT 1", True),
@@ -139,8 +138,8 @@ RECORDS = {
         False,
     ),
     "shell_instances": (
-        lambda n: with_shells(n.graph.source("part").where("p_partkey % 3 = 0").select(_part_uid().alias("uid"), F.lit("Part").alias("model_class"), F.create_map(F.lit("name"), F.col("p_name")).alias("props")), _followers(n)["shells"]).groupBy(F.map_contains_key("props", F.lit("name")).alias("real")).agg(F.count("*").alias("n")),
-        "SELECT p_partkey IS NOT NULL AS real, count(*) AS n FROM (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0) FULL JOIN (SELECT DISTINCT l_partkey FROM lineitem) ON p_partkey = l_partkey GROUP BY 1",
+        lambda n: with_shells(n.graph.source("part").where("p_size > 25").select(_part_uid().alias("uid"), F.lit("Part").alias("model_class"), F.create_map(F.lit("name"), F.col("p_name")).alias("props")), _followers(n)["shells"]).groupBy(F.map_contains_key("props", F.lit("name")).alias("real")).agg(F.count("*").alias("n")),
+        "SELECT p_partkey IS NOT NULL AS real, count(*) AS n FROM (SELECT p_partkey FROM part WHERE p_size > 25) FULL JOIN (SELECT DISTINCT l_partkey FROM lineitem) ON p_partkey = l_partkey GROUP BY 1",
         False,
     ),
     "sibling_links": (
@@ -200,8 +199,8 @@ RECORDS = {
         True,
     ),
     "orphan_sweep": (
-        lambda n: sweep(n.table("model_instance"), n.table("labeled_entity"), n.table("extraction_result").where("false"), n.edges(), 1)["labeled_entity"].select("uid"),
-        "SELECT uid FROM entity WHERE uid NOT IN (SELECT dst FROM edge WHERE type = 'REQUESTS')",
+        lambda n: sweep(n.table("model_instance"), n.table("labeled_entity"), n.table("extraction_result").where("model_class = 'Toxic'"), n.edges())["labeled_entity"].select("uid"),
+        ", safe AS (SELECT DISTINCT c.node FROM contained c JOIN result r ON r.uid = c.anchor WHERE r.model_class = 'Toxic') SELECT uid FROM entity WHERE uid NOT IN (SELECT dst FROM edge WHERE type = 'REQUESTS') AND uid NOT IN (SELECT dst FROM edge WHERE type = 'REFERENCES' AND src IN (SELECT node FROM safe))",
         True,
     ),
     "resolve_leaves": (
@@ -209,16 +208,16 @@ RECORDS = {
         ", up AS (SELECT tenant_id || '::' || tenant_id || '::1' AS a, tenant_id || '::' || folder || '::1' AS b, tenant_id || '::' || path || '::' || v AS leaf FROM (SELECT *, unnest(range(1, newest + 1)) AS v FROM leaf)) SELECT a AS anchor, leaf FROM up UNION ALL SELECT b, leaf FROM up UNION ALL SELECT leaf, leaf FROM up",
         True,
     ),
-    "freeze": (lambda n: _frozen(n), "SELECT CASE WHEN job_id = 'src0' THEN 's1' ELSE 'none' END AS snapshot_id, count(*) AS documents FROM document GROUP BY 1", True),
+    "freeze": (lambda n: _frozen(n), "SELECT CASE WHEN job_id = 'src0' AND tenant_id = 'en' THEN 's1' ELSE 'none' END AS snapshot_id, count(*) AS documents FROM document GROUP BY 1", True),
     "freeze_folder": (
         lambda n: _frozen_folder(n),
-        "SELECT 'Document' AS label, count(*) AS n FROM document UNION ALL SELECT 'StructureNode', count(*) FROM node UNION ALL SELECT 'InfoUnit', count(*) FROM unit UNION ALL SELECT 'ModelDecision', count(*) FROM decision UNION ALL SELECT 'ExtractionResult', count(*) FROM result UNION ALL SELECT 'stub', count(*) FROM document WHERE tenant_id = 'en'",
+        "SELECT 'Document' AS label, count(*) AS n FROM document UNION ALL SELECT 'StructureNode', count(*) FROM node UNION ALL SELECT 'InfoUnit', count(*) FROM unit UNION ALL SELECT 'ModelDecision', count(*) FROM decision UNION ALL SELECT 'ExtractionResult', count(*) FROM result UNION ALL SELECT 'ModelInstance', count(*) FROM instance UNION ALL SELECT 'LabeledEntity', count(*) FROM entity UNION ALL SELECT 'stub', count(*) FROM document WHERE tenant_id = 'en'",
         True,
     ),
     "newest_snapshot": (lambda n: newest_snapshot(n.graph.source("events").selectExpr(*_EVENT_SNAPSHOTS.split(", "))), "SELECT user_id AS document, max_by(event_type, (ts, event_type)) AS snapshot_id FROM events GROUP BY 1", False),
     "restore_plan": (
-        lambda n: restore_plan(n.graph.source("orders").select(F.col("o_orderkey").alias("document"), F.col("o_orderstatus").alias("snapshot_id")), n.graph.source("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") != "O", "F").alias("snapshot_id"))),
-        "SELECT o_orderkey AS document, CASE WHEN o_orderkey % 2 <> 0 THEN 'recreate' WHEN o_orderstatus = 'F' THEN 'refill' ELSE 'refuse' END AS action FROM orders",
+        lambda n: restore_plan(n.graph.source("orders").select(F.col("o_orderkey").alias("document"), F.col("o_orderstatus").alias("snapshot_id")), n.graph.source("orders").where("o_orderpriority < '3'").select(F.col("o_orderkey").alias("key"), F.when(F.col("o_orderstatus") != "O", "F").alias("snapshot_id"))),
+        "SELECT o_orderkey AS document, CASE WHEN NOT coalesce(o_orderpriority < '3', false) THEN 'recreate' WHEN o_orderstatus = 'F' THEN 'refill' ELSE 'refuse' END AS action FROM orders",
         False,
     ),
     "restored_edges": (lambda n: _restored(n), "SELECT 'FOLLOWED_BY' AS type, count(*) AS n FROM ord WHERE next IS NOT NULL", True),

@@ -140,10 +140,16 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def segments(duration: Column, step: int, least: int) -> Column:
-    """Consecutive [start, end) covering the duration; a last piece shorter than ``least`` moves the cut before it."""
-    n = F.ceil(duration / step)
-    cuts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.when((i > 0) & (i == n - 1) & (duration - i * step < least), F.greatest(duration - least, (i - 1) * step + 1)).otherwise(i * step))
-    return F.when(duration > 0, F.transform(cuts, lambda c, i: F.struct(c.cast("long").alias("start_ms"), F.coalesce(F.get(cuts, i + 1), duration).cast("long").alias("end_ms")))).otherwise(F.array().cast("array<struct<start_ms:bigint,end_ms:bigint>>"))
+    """Consecutive [start, end) in milliseconds that cover the duration.
+
+    A last piece shorter than ``least`` (half a step at most) moves the cut before it to a whole second, so that it
+    is as long; a duration of nothing is one empty piece.
+    """
+    n = F.greatest(F.ceil(duration / step), F.lit(1))
+    short = min(least, step // 2)
+    moved = F.floor((duration - short) / 1000) * 1000
+    cuts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when((i > 0) & (i == n - 1) & (duration - i * step < short), moved).otherwise(i * step))
+    return F.transform(cuts, lambda c, i: F.struct(c.cast("long").alias("start_ms"), F.coalesce(F.get(cuts, i + 1), duration).cast("long").alias("end_ms")))
 
 
 def shifted_cues(cues: Column, start: Column, end: Column) -> Column:

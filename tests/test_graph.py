@@ -93,6 +93,8 @@ MERGES = [
     (["", "  ", "X"], ["X"]),
     (["", " "], []),
     (["Amox 500 mg", "mg 500"], ["Amox 500 mg"]),
+    (["Amox   500\tmg", "amox 500"], ["Amox   500\tmg"]),
+    (["\tX\n", "x"], ["X"]),
 ]
 
 
@@ -125,10 +127,26 @@ def test_pages(spark):
     html = "<html><head><title>t</title></head><body><nav>n</nav><h1>A</h1><p>x <b>y</b></p><ul><li>1<ol><li>2</li></ol></li></ul><table><tr><th>a</th></tr><tr><td>1|2</td><td>3</td></tr></table><script>s</script></body></html>"
     assert to_markdown(html) == "# A\n\nx y\n\n- 1\n\n  1. 2\n\n| a |  |\n| --- | --- |\n| 1\\|2 | 3 |"
     assert to_markdown(None) == ""
-    cut = lambda d: [(s.start_ms, s.end_ms) for s in spark.range(1).select(segments(F.lit(d).cast("long"), 300, 100).alias("s")).first().s]
-    assert cut(650) == [(0, 300), (300, 550), (550, 650)]
-    assert cut(600) == [(0, 300), (300, 600)]
-    assert cut(50) == [(0, 50)] and cut(0) == []
+    cut = lambda d, step=300_000, least=10_000: [(x.start_ms, x.end_ms) for x in spark.range(1).select(segments(F.lit(d).cast("long"), step, least).alias("s")).first().s]
+    assert cut(300_050) == [(0, 290_000), (290_000, 300_050)]
+    assert cut(700_000) == [(0, 300_000), (300_000, 600_000), (600_000, 700_000)]
+    assert cut(300_000) == [(0, 300_000)] and cut(10) == [(0, 10)] and cut(0) == [(0, 0)]
+    # a least piece of more than half a step counts as half a step
+    assert cut(11_000, 10_000, 9_000) == [(0, 6_000), (6_000, 11_000)]
+
+
+def test_paths_and_long_circles(spark):
+    e = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c"), ("a", "S", "d"), ("d", "S", "c"), ("c", "R", "e"), ("x", "R", "y")], "src string, type string, dst string")
+    start, to = spark.createDataFrame([("a",)], "anchor string"), spark.createDataFrame([("e",), ("y",), ("d",)], "node string")
+    got = {r.node: (r.hops, r.path, r.types) for r in traverse.shortest_paths(start, to, e).collect()}
+    assert got == {"e": (3, ["a", "b", "c", "e"], ["R", "R", "R"]), "d": (1, ["a", "d"], ["S"])}
+    assert traverse.shortest_paths(start, to, e, 2).count() == 1
+    # a circle of 25, a chain of 40 that leads into it, and a chain that ends
+    n = 25
+    nodes = [(f"c{i}", None, True) for i in range(n)] + [(f"l{i}", None, True) for i in range(40)] + [(f"k{i}", None, True) for i in range(30)] + [("root", None, False)]
+    decided = [(f"c{i}", f"c{(i + 1) % n}", 1) for i in range(n)] + [(f"l{i}", f"l{i + 1}" if i < 39 else "c3", 1) for i in range(40)] + [(f"k{i}", f"k{i + 1}" if i < 29 else "root", 1) for i in range(30)]
+    got = {r.id: r.parent for r in assemble_tree(spark.createDataFrame(nodes, "id string, parent string, is_orphan boolean"), spark.createDataFrame(decided, "id string, parent string, seq int")).collect()}
+    assert got == {k: (None if k.startswith("c") else p) for k, p, _ in decided} | {"root": None}
 
 
 def test_raw_queries_are_guarded(spark):
