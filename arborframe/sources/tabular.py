@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 DELIMITERS = ",;\t|"
+#: Lines with something on them from which the delimiter and the header are read.
+SAMPLE_LINES = 200
 
 
 def sniff(sample: str) -> str:
@@ -35,14 +39,19 @@ def header(cells: list[str]) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """row_index and string columns; empty rows are dropped, others trimmed or padded to the header."""
-    first = [r.value for r in spark.read.text(path).limit(20).collect()]
-    if any("\0" in x for x in first):
+    """row_index and string columns; empty rows are dropped, others trimmed or padded to the header.
+
+    Delimiter and header are read off the first lines that hold something, wherever they stand in the files.
+    """
+    lines = spark.read.text(path).where(F.trim(F.regexp_replace("value", "^\ufeff", "")) != "")
+    if not lines.where(F.contains("value", F.lit("\0"))).isEmpty():
         raise ValueError("a NUL byte in a text table")
+    first = [r.value.removeprefix("\ufeff") for r in lines.limit(SAMPLE_LINES).collect()]
     sep = sniff("\n".join(first))
-    top = next((x for x in first if x.strip(sep + " \ufeff")), "")
-    width = top.count(sep) + 1
-    raw = spark.read.schema(StructType([StructField(f"c{i}", StringType()) for i in range(width)])).csv(path, sep=sep, header=False, multiLine=True, escape='"', encoding="UTF-8", mode="PERMISSIVE")
+    # a quoted cell of the header may hold delimiters and line ends
+    records = csv.reader(io.StringIO("\n".join(first)), delimiter=sep)
+    top = next((r for r in records if any(c.strip() for c in r)), [])
+    raw = spark.read.schema(StructType([StructField(f"c{i}", StringType()) for i in range(max(1, len(top)))])).csv(path, sep=sep, header=False, multiLine=True, escape='"', encoding="UTF-8", mode="PERMISSIVE")
     # the rows are numbered by their place in the files
     rows = raw.select(F.monotonically_increasing_id().alias("at"), F.array(*(clean(F.col(c)) for c in raw.columns)).alias("cells")).where(not_empty(F.col("cells")))
     head = rows.orderBy("at").first()

@@ -123,6 +123,16 @@ def test_tables(spark, tmp_path):
     assert [(r.id, r.note) for r in df.orderBy("row_index").collect()] == [("1", "x\ny"), ("2", "z"), ("3", "")]
 
 
+def test_headers_are_parsed(spark, tmp_path):
+    for name, text, columns, cells in (("q", '"a, x",b\n1,2\n', ["a, x", "b"], ["1", "2"]), ("blank", "\n" * 25 + "a;b\n1;2\n", ["a", "b"], ["1", "2"]), ("line", '"a\nz",b\n"1,5",2\n', ["a\nz", "b"], ["1,5", "2"])):
+        (tmp_path / f"{name}.csv").write_text(text, encoding="utf-8")
+        df = read_csv(spark, str(tmp_path / f"{name}.csv"))
+        assert df.columns == ["row_index", *columns] and [list(r)[1:] for r in df.collect()] == [cells]
+    (tmp_path / "nul.csv").write_text("a,b\n" + "1,2\n" * 50 + "1,\0\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        read_csv(spark, str(tmp_path / "nul.csv"))
+
+
 def test_pages(spark):
     html = "<html><head><title>t</title></head><body><nav>n</nav><h1>A</h1><p>x <b>y</b></p><ul><li>1<ol><li>2</li></ol></li></ul><table><tr><th>a</th></tr><tr><td>1|2</td><td>3</td></tr></table><script>s</script></body></html>"
     assert to_markdown(html) == "# A\n\nx y\n\n- 1\n\n  1. 2\n\n| a |  |\n| --- | --- |\n| 1\\|2 | 3 |"
