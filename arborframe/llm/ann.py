@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, written
 
-EPSILON = 3.5
+EPSILON = 3.0
 SLAB_BYTES = 8 << 20
 BLOCK = 2048
 PAIRS = 1 << 16
@@ -184,6 +184,10 @@ class _Seeker:
                 a, b = qi[j : j + PAIRS] + i, ci[j : j + PAIRS]
                 keep = self.ids[a] != ids[b]
                 a, b = a[keep], b[keep]
+                # a quick sum first, in any order: the exact one is for those that it lets come near
+                quick = np.einsum("ij,ij->i", self.queries[a], vectors[b])
+                near = quick >= self.floor[a] - 1e-9 * (1 + np.abs(quick))
+                a, b = a[near], b[near]
                 score = exact(self.queries[a], vectors[b])
                 reach = score >= self.floor[a]
                 self.q, self.c, self.s = np.concatenate([self.q, a[reach]]), np.concatenate([self.c, ids[b[reach]]]), np.concatenate([self.s, score[reach]])
