@@ -36,6 +36,11 @@ def uid(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("||", *(F.concat(F.char_length(p).cast("string"), F.lit(":"), p) for p in parts)), 256), 1, 16)
 
 
+def legacy_uid(*parts: Column) -> Column:
+    """The first 16 hex digits of SHA-256 over the parts alone, as units and decisions of older stores have it."""
+    return F.substring(F.sha2(F.concat_ws("||", *parts), 256), 1, 16)
+
+
 def instance_uid(model_class: str, keys: Mapping[str, Column], tenant: Column | None = None) -> Column:
     """The uid of a keyed instance: class, tenant and its key fields in the order of their names."""
     parts = [F.lit("mi"), F.lit(model_class), F.lit("tenant"), tenant_key(tenant)]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, NullType, StringType
 
 from ..plans.store import stored
 
@@ -31,6 +32,15 @@ def merge_values(values: Column) -> Column:
     return F.aggregate(trimmed, empty, lambda acc, x: F.when(F.exists(acc, lambda a: _covers(a, x)), acc).otherwise(F.concat(F.filter(acc, lambda a: ~_covers(x, a)), F.array(x))))
 
 
+def merge_type(kind: DataType | None) -> str:
+    """How several values of a field become one: ``str`` (also for an unknown type), ``list_str`` or ``other``."""
+    if kind is None or isinstance(kind, (StringType, NullType)):
+        return "str"
+    if isinstance(kind, ArrayType) and isinstance(kind.elementType, (StringType, NullType)):
+        return "list_str"
+    return "other"
+
+
 def route_rows(df: DataFrame, key: str, mapping: DataFrame, least: tuple[str, ...] = ("high", "medium")) -> DataFrame:
     """key, target, field, value: cells by their column's mapping (column_name, target, field, confidence), merged."""
     cols = [c for c in df.columns if c != key]
@@ -158,6 +168,55 @@ def active_branch(nodes: DataFrame, group: str, order: str, parent: str) -> Data
         out = out.union(level.withColumn("level", F.lit(n)))
 
 
+def window_batches(sizes: Column, ceiling: Column | int) -> Column:
+    """For an array of chunk sizes, each chunk's batch: a batch and the one before it stay under a ceiling together.
+
+    A chunk that does not fit beside the batch before is a batch of its own. Null sizes count as nothing.
+    """
+    ceiling = F.lit(ceiling).cast("long") if isinstance(ceiling, int) else ceiling.cast("long")
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("batch"), zero.alias("used"), zero.alias("before"), F.array().cast("array<long>").alias("out"))
+
+    def put(acc: Column, size: Column) -> Column:
+        size = F.coalesce(size.cast("long"), zero)
+        fits = (F.size(acc["out"]) == 0) | (acc["before"] + acc["used"] + size <= ceiling)
+        batch = F.when(fits, acc["batch"]).otherwise(acc["batch"] + 1)
+        return F.struct(batch.alias("batch"), F.when(fits, acc["used"] + size).otherwise(size).alias("used"), F.when(fits, acc["before"]).otherwise(acc["used"]).alias("before"), F.concat(acc["out"], F.array(batch)).alias("out"))
+
+    return F.aggregate(sizes, start, put, lambda acc: acc["out"])
+
+
+#: Roles whose nodes ask for a parent.
+ORPHAN_ROLES = ("Subsection", "Table", "FieldGroup", "FreeformBlock")
+
+
+def orphan_parents(nodes: DataFrame, decide: Callable[[DataFrame, DataFrame], DataFrame], ceiling: int, roles: tuple[str, ...] = ORPHAN_ROLES) -> DataFrame:
+    """group, id, parent of every node whose role asks for one; a null parent is the root.
+
+    nodes: group, chunk (from 0, in order), id, role, size. A group's chunks go into batches (one, if all fit).
+    decide(asked, pool) gives group, id, parent; the pool holds a batch and the one before it, asked the batch's orphans and
+    those still open. The smallest parent of an orphan counts; one without stays open for the batches after. A round
+    takes one batch of every group, so that rounds are as many as the longest group has batches.
+    """
+    sizes = nodes.groupBy("group", "chunk").agg(F.sum("size").alias("size")).groupBy("group").agg(F.array_sort(F.collect_list(F.struct("chunk", "size"))).alias("c"))
+    numbered = sizes.select("group", F.explode(F.arrays_zip(F.col("c.chunk").alias("chunk"), window_batches(F.col("c.size"), ceiling).alias("batch"))).alias("c")).select("group", "c.*")
+    placed = stored(nodes.join(numbered, ["group", "chunk"]))
+    last = placed.agg(F.max("batch")).first()[0]
+    found = placed.select("group", "id", F.lit(None).cast("string").alias("parent")).where("false")
+    asking = placed.where(F.col("role").isin(*roles))
+    open_ = asking.where("false")
+    for batch in range(0 if last is None else last + 1):
+        # groups whose batches are over have nothing more to see
+        pool = placed.where(F.col("batch").isin(batch - 1, batch))
+        live = placed.where(F.col("batch") == batch).select("group").distinct()
+        asked = open_.unionByName(asking.where(F.col("batch") == batch))
+        given = decide(asked.join(live, "group", "left_semi"), pool.join(live, "group", "left_semi")).where("parent IS NOT NULL").groupBy("group", "id").agg(F.min("parent").alias("parent"))
+        given = stored(given.join(asked.select("group", "id"), ["group", "id"], "left_semi"))
+        found = found.union(given)
+        open_ = stored(asked.join(given, ["group", "id"], "left_anti"))
+    return found.union(open_.select("group", "id", F.lit(None).cast("string")))
+
+
 def output_parts(sizes: list[int], ceiling: float) -> list[tuple[int, int]]:
     """Ranges of items whose outputs, estimated by the mean size, stay under a ceiling; one item at least each."""
     if not sizes:

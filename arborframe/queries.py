@@ -20,6 +20,7 @@ from .plans.store import stored
 from .record_queries import RECORDS
 from .session import prepare
 from .sources.text import html_pages, json_items, segments, text_pages
+from .write_queries import WRITES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -238,6 +239,6 @@ def _round_trip(n: Navigator) -> DataFrame:
     return _digests(restore_tables(left, rows, edges), _CONTENTS)
 
 
-MORE |= {k: _q(lambda s, d, n, make=make: make(n), sql, graph) for k, (make, sql, graph) in RECORDS.items()}
+MORE |= {k: _q(lambda s, d, n, make=make: make(n), sql, graph) for k, (make, sql, graph) in (RECORDS | WRITES).items()}
 QUERIES |= {k: v[0] for k, v in MORE.items()}
 ORACLES |= {k: v[1] for k, v in MORE.items()}
