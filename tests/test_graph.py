@@ -8,9 +8,10 @@ import __spark_entry__ as entry
 from arborframe.functions.keys import edge_type, instance_uid, normalize_key, redact
 from arborframe.functions.predicates import Op, where
 from arborframe.functions.scope import Scope
-from arborframe.operators import traverse
+from arborframe.operators import navigator, traverse
 from arborframe.operators.navigator import Navigator
 from arborframe.operators.transforms import assemble_tree, merge_siblings, merge_values, prefix_parents
+from arborframe.plans.graph import Graph
 from arborframe.sources.tabular import header, read_csv, sniff
 from arborframe.sources.text import segments, to_markdown
 
@@ -193,3 +194,42 @@ def test_streamed_progress(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT sum(n) AS n FROM progress_counts").first().n == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_products_hold_each_pair_once(spark, monkeypatch):
+    """Sets of any size, over many blocks; an owner without rows and rows without an owner stay out."""
+    monkeypatch.setattr(navigator, "OWNERS", 3)
+    monkeypatch.setattr(navigator, "ITEMS", 4)
+    owners = [(f"o{i}", f"s{i % 2}") for i in range(25)] + [("alone", "s8")]
+    items = [(f"s{i % 2}", f"n{i}", i) for i in range(31)] + [("s9", "n", 0)]
+    df = navigator.product(spark.createDataFrame(owners, "anchor string, held string"), spark.createDataFrame(items, "held string, node string, depth int"))
+    assert df.columns == ["anchor", "node", "depth"]
+    assert sorted(r[:] for r in df.collect()) == sorted((o, n, d) for o, s in owners for t, n, d in items if s == t)
+
+
+def _rows_made_last(df):
+    """Nothing is sorted, joined or made distinct after the product's rows are made."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return next(x for x in plan if not x.lstrip(" +-:").startswith("Project")).lstrip(" +-:").startswith("Generate")
+
+
+@pytest.fixture(scope="module")
+def shared(spark):
+    """Two results of a node, one of another; A and B hold C both, A also by way of B."""
+    frame = lambda rows, schema: spark.createDataFrame([("t", *r) for r in rows], "tenant_id string, " + schema)
+    edges = [("d", "HAS_STRUCTURE", "n1"), ("n1", "HAS_CHILD", "n2"), ("e", "HAS_STRUCTURE", "n3"), ("x1", "HAS_A", "A"), ("x2", "HAS_B", "B"), ("x3", "HAS_B", "B"), ("A", "HAS_B", "B"), ("A", "HAS_C", "C"), ("B", "HAS_C", "C")]
+    return Navigator(Graph({
+        "document": frame([("d", "d"), ("e", "e"), ("f", "f")], "key string, path string"),
+        "extraction_result": frame([("x1", "n2", "M"), ("x2", "n2", "M"), ("x3", "n3", "M")], "uid string, node string, model_class string"),
+        "model_instance": frame([("A", "K"), ("B", "K"), ("C", "L")], "uid string, model_class string").withColumn("props", F.create_map(F.lit("a"), F.lit("b"))),
+        "edges": frame(edges, "src string, type string, dst string"),
+    }))
+
+
+def test_instances_of_documents(shared):
+    df = shared.get_document_model_instances()
+    assert sorted(r[:] for r in df.collect()) == [("d", "A", "K"), ("d", "B", "K"), ("d", "C", "L"), ("e", "B", "K"), ("e", "C", "L")]
+    assert _rows_made_last(df)
+    known = Navigator(shared.graph)
+    known.nodes_of_documents()
+    assert sorted(r[:] for r in known.get_document_model_instances().collect()) == sorted(r[:] for r in df.collect())
