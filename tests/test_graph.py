@@ -233,3 +233,9 @@ def test_instances_of_documents(shared):
     known = Navigator(shared.graph)
     known.nodes_of_documents()
     assert sorted(r[:] for r in known.get_document_model_instances().collect()) == sorted(r[:] for r in df.collect())
+
+
+def test_documents_of_instances(shared):
+    df = shared.get_documents_for_model_instance()
+    assert sorted(r[:] for r in df.collect()) == [("A", "d"), ("B", "d"), ("B", "e"), ("C", "d"), ("C", "e")]
+    assert _rows_made_last(df)
