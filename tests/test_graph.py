@@ -239,3 +239,10 @@ def test_documents_of_instances(shared):
     df = shared.get_documents_for_model_instance()
     assert sorted(r[:] for r in df.collect()) == [("A", "d"), ("B", "d"), ("B", "e"), ("C", "d"), ("C", "e")]
     assert _rows_made_last(df)
+
+
+def test_results_of_instances(shared):
+    df = shared.get_extraction_results_for_model_instance()
+    assert sorted(r[:] for r in df.collect()) == [("A", "x1"), ("B", "x1"), ("B", "x2"), ("B", "x3"), ("C", "x1"), ("C", "x2"), ("C", "x3")]
+    assert _rows_made_last(df)
+    assert {(r.node, r.depth) for r in shared.contained(anchors=["x1"]).collect()} == {("A", 1), ("B", 2), ("C", 2)}
