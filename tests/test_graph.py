@@ -246,3 +246,10 @@ def test_results_of_instances(shared):
     assert sorted(r[:] for r in df.collect()) == [("A", "x1"), ("B", "x1"), ("B", "x2"), ("B", "x3"), ("C", "x1"), ("C", "x2"), ("C", "x3")]
     assert _rows_made_last(df)
     assert {(r.node, r.depth) for r in shared.contained(anchors=["x1"]).collect()} == {("A", 1), ("B", 2), ("C", 2)}
+
+
+def test_nodes_of_instances(shared):
+    """hops are the least over the results of a node."""
+    df = shared.get_structure_nodes_for_model_instance()
+    assert sorted(r[:] for r in df.collect()) == [("A", "n2", 1), ("B", "n2", 1), ("B", "n3", 1), ("C", "n2", 2), ("C", "n3", 2)]
+    assert _rows_made_last(df)
