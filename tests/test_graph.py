@@ -253,3 +253,10 @@ def test_nodes_of_instances(shared):
     df = shared.get_structure_nodes_for_model_instance()
     assert sorted(r[:] for r in df.collect()) == [("A", "n2", 1), ("B", "n2", 1), ("B", "n3", 1), ("C", "n2", 2), ("C", "n3", 2)]
     assert _rows_made_last(df)
+
+
+def test_instances_of_nodes(shared):
+    df = shared.get_node_model_instances()
+    assert sorted(r[:] for r in df.collect()) == [("n2", "A", "K"), ("n2", "B", "K"), ("n2", "C", "L"), ("n3", "B", "K"), ("n3", "C", "L")]
+    assert _rows_made_last(df)
+    assert sorted(r[:] for r in shared.get_node_model_instances(direct_only=True).collect()) == [("n2", "A", "K"), ("n2", "B", "K"), ("n3", "B", "K")]
