@@ -413,7 +413,9 @@ def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of detect()."""
     names = F.array(*map(F.lit, KINDS))
     text = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(":", F.get(names, r["k"]), r["s"].cast("string"), r["e"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda r, i=i: r["k"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    # F.filter gives the position in the array to a second parameter, even to one with a default
+    count = lambda kind: F.size(F.filter("base", lambda r: r["k"] == kind)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 

@@ -312,6 +312,15 @@ def test_personal_data(spark, empty):
     assert pii.detect(empty, model).count() == 0
 
 
+def test_counts_of_personal_data(spark):
+    """By kind, whatever the places of the spans among the others."""
+    texts = ["a@b.c d@e.f g@h.i", "1.2.3.4", "+1 234 567 8901 x 4111 1111 1111 1111 y 5.6.7.8 z 4111111111111111", None]
+    rows = [(n, [(s, k, e) for s, k, e in pii.patterns(t or "")[0]]) for n, t in enumerate(texts)]
+    span = "array<struct<s:int,k:int,e:int>>"
+    got = by_id(pii.digest(spark.createDataFrame([(n, x, x) for n, x in rows], f"doc_id long, base {span}, spans {span}")))
+    assert [got[n][1:5] for n in range(4)] == [(3, 0, 0, 0), (0, 1, 0, 0), (0, 1, 2, 1), (0, 0, 0, 0)]
+
+
 def test_network_finds_what_patterns_do_not():
     text = "call me at (555) 123-4567 today, born 2024-01-02, version 1.2.3"
     base, tried = pii.patterns(text)
