@@ -277,7 +277,7 @@ def crowded(spark):
     })
 
 
-@pytest.mark.parametrize("name", ["get_document_model_instances", "get_extraction_results_for_model_instance", "get_structure_nodes_for_model_instance", "get_documents_for_model_instance"])
+@pytest.mark.parametrize("name", ["get_document_model_instances", "get_extraction_results_for_model_instance", "get_structure_nodes_for_model_instance", "get_documents_for_model_instance", "get_node_model_instances"])
 def test_few_copies_are_shuffled(crowded, monkeypatch, name):
     """What a set holds is shuffled at most 4 times, its owners at most 64 times, while blocks are not full."""
     pairs, made = [], navigator._pairs
